@@ -27,6 +27,8 @@ CONTROLS = (
 _FOUND = re.compile("|".join(rf"(?:{re.escape(c[0])}\\*{re.escape(c[1:])})" for c in CONTROLS))
 _MARKS = re.compile("|".join(map(re.escape, (TURN, BODY, END))))
 
+#: Conversations encoded at once: bounds the memory of their offsets.
+AT_ONCE = 128
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = (
     "conv_id long, formatted string, n_turns long, n_tokens long, loss_tokens long, "
@@ -121,7 +123,7 @@ def format_conversations(
 
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in (b.iloc[i : i + AT_ONCE] for b in batches for i in range(0, len(b), AT_ONCE)):
             rendered = [render(list(zip(r, t, strict=True))) for r, t in zip(batch.roles, batch.texts, strict=True)]
             encoded = tokenizer.encode_batch([r[0] for r in rendered], add_special_tokens=False)
             out = []
