@@ -72,7 +72,8 @@ def contained_items(
     items = cut(_items(benchmark, item_key, item_text, threshold))
     sketches = items.select("item", "length", "need", F.explode("sketch").alias("hash"))
     size = sketches.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most SHINGLE rows
-    rows = docs.select(F.col(key).alias("key"), words(F.col(text), NOT_ALNUM).alias("w"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = texts.select("key", words(F.col("text"), NOT_ALNUM).alias("w"))
     found = None
     for length in sorted(r["length"] for r in size):
         wanted = sketches.where(F.col("length") == length).drop("length")
@@ -87,14 +88,18 @@ def contained_items(
     if found is None:
         found = rows.join(sketches, F.lit(False)).select("key", "item")
     pairs = found.withColumnRenamed("key", "_key").join(items.drop("sketch", "need"), "item")
-    both = rows.join(pairs, F.col("key").eqNullSafe(F.col("_key")))
-    both = both.select("key", "item", "item_set", "n", "length", F.col("w").alias("found_words"))
+    both = texts.join(pairs, F.col("key").eqNullSafe(F.col("_key")))
+    both = both.select(
+        "key", "item", "item_set", "n", "length", words(F.col("text"), NOT_ALNUM).alias("found_words")
+    )
     matched = F.lit(0)
     for length in range(1, SHINGLE + 1):
         here = F.size(F.array_intersect(_shingle_strings("found_words", length), "item_set"))
         matched = F.when(F.col("length") == length, here).otherwise(matched)
-    both = both.withColumn("matched", matched).where(F.col("matched") >= _share(threshold) * F.col("n"))
-    best = both.groupBy("key", "item").agg(F.max("n").alias("n"), F.max("matched").alias("matched"))
+    # Filtered after the aggregation: a filter on the rows would be pushed down and repeat the work above.
+    best = both.withColumn("matched", matched).groupBy("key", "item")
+    best = best.agg(F.max("n").alias("n"), F.max("matched").alias("matched"))
+    best = best.where(F.col("matched") >= _share(threshold) * F.col("n"))
     return best.select(
         F.col("key").alias(key),
         F.col("item").alias(item_key),
