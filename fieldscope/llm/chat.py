@@ -181,3 +181,28 @@ def _masked(formatted: str, starts, ends) -> Iterator[str]:
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _sql_pattern() -> str:
+    """The control strings, each with any backslashes after its first character, as a pattern for SQL."""
+    return "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROLS).replace("'", "''")
+
+
+#: The digests of all conversations and conversation -1 in DuckDB; an escape adds one code point per control string.
+DIGEST_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + length(text) + {len(TURN + BODY + END)}
+    + len(regexp_extract_all(role, '{_sql_pattern()}')) + len(regexp_extract_all(text, '{_sql_pattern()}')) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -117,20 +117,22 @@ def without_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 CONTAINED_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), bi AS (
   SELECT item_id, least(len(w), 5) AS l, w FROM b WHERE len(w) > 0
 ), bs AS (
-  SELECT DISTINCT item_id, l, unnest(list_transform(range(1, len(w) - l + 2), i -> array_to_string(list_slice(w, i, i + l - 1), ' '))) AS s
+  SELECT DISTINCT item_id, l,
+    unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(list_slice(w, i, i + l - 1), ' '))) AS s
   FROM bi
 ), n AS (
   SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id
 ), ds AS (
-  SELECT DISTINCT doc_id, l, unnest(list_transform(range(1, len(w) - l + 2), i -> array_to_string(list_slice(w, i, i + l - 1), ' '))) AS s
+  SELECT DISTINCT doc_id, l,
+    unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(list_slice(w, i, i + l - 1), ' '))) AS s
   FROM d, (SELECT DISTINCT l FROM bi) WHERE len(w) >= l
 ), m AS (
   SELECT doc_id, item_id, count(*) AS matched FROM ds JOIN bs USING (l, s) GROUP BY doc_id, item_id

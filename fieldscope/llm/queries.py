@@ -25,7 +25,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    return chat.digest_formatted(chat.format_conversations(turns.union(added)))
+    # The token counts, which SQL cannot tell, stay in the operator's own output.
+    return chat.digest_formatted(chat.format_conversations(turns.union(added))).drop("n_tokens", "loss_tokens")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontam.CONTAINED_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.DIGEST_SQL,
+    "op9_decontamination": decontam.CONTAINED_SQL,
+    "op10_sharding": sharding.SHARDED_SQL,
+}

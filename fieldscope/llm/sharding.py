@@ -84,3 +84,39 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         (F.col("_offset") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
         "grown_shard",
     )
+
+
+#: The same rows for 16 shards in DuckDB: CRC-32 by half bytes, the key's mix and the jumps in 128-bit integers.
+SHARDED_SQL = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(16) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE k < 4
+), tab AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 4
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+    (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT)::UHUGEINT % 18446744073709551616 AS m0
+  FROM documents
+), c AS (
+  SELECT r, xor(list_reduce(
+    list_transform(flatten(list_transform(regexp_extract_all(h, '..'), lambda x: [x[2], x[1]])),
+      lambda x: (instr('0123456789ABCDEF', x) - 1)::UBIGINT),
+    lambda c, n: xor(c >> 4, t[(xor(c, n) & 15)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM d, tab
+), m1 AS (
+  SELECT r, (xor(m0, m0 >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616 AS x FROM d
+), m2 AS (
+  SELECT r, (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616 AS x FROM m1
+), jumps(r, n, k, b, j) AS (
+  SELECT r, n, xor(x, x >> 31), 0::BIGINT, 0::BIGINT FROM m2, (VALUES (16), (17)) s(n)
+  UNION ALL
+  SELECT r, n, k2, j, floor((j + 1) * (2147483648::DOUBLE / ((k2 >> 33)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT r, n, j, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616 AS k2 FROM jumps WHERE j < n) s
+), placed AS (
+  SELECT r, max(CASE WHEN n = 16 THEN b END) AS shard, max(CASE WHEN n = 17 THEN b END) AS grown_shard FROM jumps GROUP BY r
+)
+SELECT doc_id, length(h) // 2 + 1 AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, length(h), text_crc32) - 1 AS slot,
+  grown_shard::INT AS grown_shard
+FROM d JOIN c USING (r) JOIN placed USING (r)
+"""

@@ -196,10 +196,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the row with the smallest key (one of those, if it repeats).
 
-    A group whose keys are all null keeps one row.
+    Rows with a null key cannot be told apart and all stay. Columns stay as they are.
     """
-    names = near_duplicates(docs, key, text)
-    kept = names.groupBy("component_id").agg(F.lit(1).alias("_one")).select(F.col("component_id").alias("_keep"))
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return rows.dropDuplicates([key]) if repeated else rows
+    groups = near_duplicates(docs, key, text).select(F.col("component_id").alias("_kept_key")).distinct()
+    rows = docs.join(groups, F.col(key) == F.col("_kept_key"), "left_semi")
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([key])
+    return rows.unionByName(docs.where(F.col(key).isNull()))
