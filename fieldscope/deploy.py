@@ -1,4 +1,4 @@
-"""Shipping this package to executors that do not have it installed."""
+"""Readying a session: the package for its Python workers, and batches of bounded size for texts."""
 
 from __future__ import annotations
 
@@ -12,8 +12,19 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application: Spark serves the archive to every executor."""
+#: Most rows, and most bytes, that a Python worker gets at once: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Give Python workers this package and small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send the package once per application: Spark serves the archive to every executor."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
