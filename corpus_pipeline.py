@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldscope.deploy import ship
+from fieldscope.deploy import ready
 from fieldscope.durable import ensure_checkpoint_dir
 from fieldscope.llm import decontam, langid, mixing, sharding, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
-    ship(spark)
+    ready(spark)
     return langid.keep_known(docs)
 
 
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next input."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    ship(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.deploy import ship
+from fieldscope.deploy import ready
 from fieldscope.llm import chat, decontam, fingerprint, langid, lmscore, mixing, sharding, simhash, substring, toxicity
 
 #: The conversation that the contract adds to the table.
@@ -15,7 +15,7 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
