@@ -2,6 +2,10 @@
 
 import datetime as dt
 import json
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -292,7 +296,17 @@ def test_jdbc_in_parallel(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 4 and df.where("v = 1").count() == 33
 
 
-def test_entry_without_corpus_package(spark):
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert {"kpi_orders", "layer_markers"} <= set(entry.queries()) and entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_corpus_package(tmp_path):
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "fieldscope", tmp_path / "fieldscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k[:2] == 'op' or k == 'pipeline' for k in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 100 and said[1] == "False"
