@@ -145,15 +145,13 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> Data
     members then lie in different components are compared whole, in pairs of blocks of at most BLOCK members,
     so that every collision is decided; only links between different components leave a task.
     """
-    lines = units.where("not piece").groupBy("class").agg(
-        F.min_by(F.struct("doc", "unit"), F.struct("doc", "unit")).alias("at"), F.first("bands").alias("bands")
-    )
-    lines = cut(lines)
+    lines = units.where("not piece")
     cells = lines.select("class", F.posexplode("bands").alias("band", "value"))
     cells = cells.select("class", F.xxhash64("band", "value").alias("cell"))
     crowded = cells.groupBy("cell").agg(F.min("class").alias("pivot"), F.max("class").alias("m")).where("pivot < m")
-    members = cut(cells.join(crowded.drop("m"), "cell"))
-    wanted = members.select("class").distinct().join(lines.select("class", "at"), "class")
+    members = cut(cells.join(crowded.drop("m"), "cell").distinct())
+    wanted = lines.join(members.select("class").distinct(), "class", "left_semi")
+    wanted = wanted.groupBy("class").agg(F.min(F.struct("doc", "unit")).alias("at"))
     wanted = wanted.select("class", F.col("at.doc").alias("doc"), F.col("at.unit").alias("unit"))
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("unit", "class")).alias("wanted"))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
@@ -219,7 +217,7 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> Data
         yield pd.DataFrame(links_of(group), columns=["a", "b"], dtype="int64")
 
     order = blocks.select("cell", "lo", "hi", "class", "root", "shingles")
-    return links.union(order.mapInPandas(compared, "a long, b long"))
+    return links.union(cut(order.mapInPandas(compared, "a long, b long")))
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
