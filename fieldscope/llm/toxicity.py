@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.durable import cut
+
 #: Look-alike letters of other scripts, substituted digits and signs, invisible characters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p",
@@ -32,8 +34,8 @@ EXCEPTIONS = (
     "disgusting taste test", "idiot proof", "idiot light",
 )
 
-#: Bounds of the training sample: labelled rows of either kind (expected), entries of the lexicon.
-TRAIN_ROWS, LEXICON = 2_500, 400
+#: Bounds of the training sample: labelled rows of either kind (expected) and in all, entries of the lexicon.
+TRAIN_ROWS, MOST_ROWS, LEXICON = 2_500, 6_000, 400
 MIN_PREFIX, MAX_PREFIX = 4, 8
 LEAST_RATIO, LEAST_SHARE, LEAST_ROWS = 8.0, 0.02, 4
 
@@ -128,7 +130,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[dict
     share = {y: min(1.0, TRAIN_ROWS / n[y]) for y in n}
     drawn = F.when(F.col("y") == 1, share[1]).otherwise(share[0]) * 1_000_000
     marks = marks.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < drawn)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(marks, "k")
+    # At most MOST_ROWS small rows: broadcast, so that no text is shuffled; the drawn texts are written once.
+    marks = F.broadcast(marks.orderBy(F.xxhash64("k"), "k").limit(MOST_ROWS))
+    rows = cut(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(marks, "k"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
