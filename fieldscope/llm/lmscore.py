@@ -104,7 +104,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col(key).alias("_good")).distinct()
     good = good.where(~held_out(F.col("_good")))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    marked = rows.join(good, rows["k"] == good["_good"], "left").select("t", F.col("_good").isNotNull().alias("y"))
+    # Labels grow with the corpus: one way of joining at every size.
+    marked = rows.join(good.hint("merge"), rows["k"] == good["_good"], "left").select("t", F.col("_good").isNotNull().alias("y"))
     found = count_grams(marked, "t", "y").toPandas()  # at most CELLS rows
     counts = np.zeros((2, CELLS), np.float32)
     counts[0, found["cell"]], counts[1, found["cell"]] = found["target"], found["background"]
