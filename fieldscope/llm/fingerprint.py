@@ -54,20 +54,21 @@ def merge(a: Column, b: Column) -> Column:
     return F.sort_array(F.array_union(a, b))
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], tie: Column) -> DataFrame:
+def with_next(df: DataFrame, key: str, carried: list[str], tie: Column, derive) -> DataFrame:
     """Add next_<column> for each carried column: its value in the row that follows by key, the first after the last.
 
     Null keys come first; rows of one key follow ``tie``. Rows meet in ranges of the key; each range also
-    gets a copy of the next range's first row, so that no window spans the table.
+    gets a copy of the next range's first row, so that no window spans the table. ``derive`` adds columns to
+    rows before they meet, so that it works once per row and the search for first rows does without.
     """
     spark = df.sparkSession
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ids = df.select(order.alias("_k"))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = quantile_bounds(ids, "_k", min(MAX_RANGES, max(4 * shuffles, df.count() // ROWS_PER_RANGE)))
-    rows = df.withColumn("_k", order).withColumn("_range", range_bucket(F.col("_k"), bounds)).withColumn("_tie", tie)
+    rows = df.select("*", order.alias("_k"), range_bucket(order, bounds).alias("_range"), tie.alias("_tie"))
     # At most MAX_RANGES rows: safe to number in one task and to broadcast.
-    firsts = ids.groupBy(range_bucket(F.col("_k"), bounds).alias("_range")).agg(F.min("_k").alias("_k"))
+    firsts = rows.groupBy("_range").agg(F.min("_k").alias("_k"))
     ranges = Window.orderBy("_range")
     before = F.coalesce(F.lag("_range").over(ranges), F.max("_range").over(Window.partitionBy()))
     firsts = firsts.select("_range", "_k", before.alias("_before"))
@@ -77,7 +78,7 @@ def with_next(df: DataFrame, key: str, carried: list[str], tie: Column) -> DataF
     heads = heads.select(
         *[F.col(f"r.{c}").alias(c) for c in fields if c != "_range"], F.col("_before").alias("_range"), "_tie"
     )
-    dealt = rows.withColumn("_extra", F.lit(0)).unionByName(heads.withColumn("_extra", F.lit(1)))
+    dealt = derive(rows).withColumn("_extra", F.lit(0)).unionByName(derive(heads).withColumn("_extra", F.lit(1)))
     following = Window.partitionBy("_range").orderBy("_extra", "_k", "_tie")
     dealt = dealt.select("*", *[F.lead(c).over(following).alias(f"next_{c}") for c in carried])
     return dealt.where("_extra = 0").drop("_extra", "_k", "_range", "_tie")
@@ -93,7 +94,8 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     columns are ignored, an empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), "key", ["text", "sketch"], F.xxhash64("text"))
+    sketched = lambda df: with_sketch(df, "text", "sketch")
+    rows = with_next(rows, "key", ["text", "sketch"], F.xxhash64("text"), sketched)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, n_chars - half)"), F.expr("substring(next_text, 1, half)"))
