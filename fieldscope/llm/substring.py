@@ -25,7 +25,7 @@ BANDS, ROWS = 10, 3
 MIN_WORDS, LONG, CUT_EVERY, MIN_PIECE = 20, 80, 16, 10
 #: Most members of a cell that one exact comparison holds.
 BLOCK = 512
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"\S+")
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -70,23 +70,22 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def units_of(text: str) -> Iterator[tuple[int, bool, int, int, np.ndarray]]:
-    """(number, piece?, start, end, word hashes) of the units of a whole text."""
+    """(number, piece?, start, end, word hashes) of the units of a whole text; words are runs without white space."""
     at = number = 0
     for line in text.split("\n"):
         words = line.split() if len(line) >= 2 * MIN_WORDS - 1 else ()
         if len(words) >= MIN_WORDS:
-            found = list(_WORD.finditer(line))
-            if len(found) >= MIN_WORDS:
-                hashes = _hash_array([m[0] for m in found])
-                yield number, False, at + found[0].start(), at + found[-1].end(), hashes
-                number += 1
-                if len(found) > LONG:
-                    cuts = np.flatnonzero(hashes % np.uint64(CUT_EVERY) == 0) + 1
-                    edges = np.unique(np.concatenate([[0], cuts, [len(found)]]))
-                    for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        if b - a >= MIN_PIECE:
-                            yield number, True, at + found[a].start(), at + found[b - 1].end(), hashes[a:b]
-                            number += 1
+            hashes = _hash_array(words)
+            yield number, False, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), hashes
+            number += 1
+            if len(words) > LONG:
+                cuts = np.flatnonzero(hashes % np.uint64(CUT_EVERY) == 0) + 1
+                edges = np.unique(np.concatenate([[0], cuts, [len(words)]]))
+                pieces = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= MIN_PIECE]
+                found = [m.span() for m in _WORD.finditer(line)] if pieces else []
+                for a, b in pieces:
+                    yield number, True, at + found[a][0], at + found[b - 1][1], hashes[a:b]
+                    number += 1
         at += len(line) + 1
 
 
