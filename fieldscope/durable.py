@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and go on from there."""
+    """Write ``df`` to the shared checkpoint folder once and go on from there.
+
+    Shuffle files of results that nobody holds any more go when the driver collects garbage; each cut asks
+    for that first, so that a job of many steps does not keep the files of all of them.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
