@@ -1,9 +1,12 @@
 """Substring dedup: repeated paragraphs found by MinHash banding, verified by exact Jaccard, clustered.
 
-A unit is a line of at least MIN_WORDS words. Lines of over LONG words are also cut into pieces at words
-whose hash is a multiple of CUT_EVERY, so that a passage inside a long line meets its copies elsewhere; pieces
-count if equal. Equal units are one class; classes of lines whose MinHash bands collide are near if the
-Jaccard similarity of their word shingles is at least THRESHOLD.
+A unit is a line of at least MIN_WORDS words. Equal lines are one class; classes of lines whose MinHash bands
+collide are near if the Jaccard similarity of their word shingles is at least THRESHOLD.
+
+Besides, every text is one stream of words whatever its lines: of each WINDOW neighbouring runs of GRAM words
+the one with the smallest hash is picked. Equal passages of GRAM + WINDOW - 1 = 50 words or more have a picked
+run in common, wherever they stand. Picked runs that repeat are pieces; neighbours with the same first
+occurrence become one.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.durable import cut
@@ -22,7 +25,7 @@ from fieldscope.operators.components import connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 #: 10 bands of 3 values: a pair at Jaccard 0.8 collides in some band with probability 0.9992.
 BANDS, ROWS = 10, 3
-MIN_WORDS, LONG, CUT_EVERY, MIN_PIECE = 20, 80, 16, 10
+MIN_WORDS, GRAM, WINDOW = 20, 30, 21
 #: Most members of a cell that one exact comparison holds.
 BLOCK = 512
 _WORD = re.compile(r"\S+")
@@ -33,7 +36,7 @@ _KEPT_WORDS = 500_000
 _HASHES: dict[str, int] = {}
 
 UNIT_SCHEMA = (
-    "doc long, unit int, piece boolean, start int, n_chars int, n_words int, class long, bands array<long>"
+    "doc long, row int, unit int, piece boolean, start int, n_chars int, n_words int, class long, bands array<long>"
 )
 
 
@@ -62,6 +65,13 @@ def shingle_array(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _row(text: str) -> int:
+    """Tells texts of one key apart."""
+    from xxhash import xxh32_intdigest
+
+    return xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
 def _class(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -69,26 +79,83 @@ def _class(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def units_of(text: str) -> Iterator[tuple[int, bool, int, int, np.ndarray]]:
-    """(number, piece?, start, end, word hashes) of the units of a whole text; words are runs without white space."""
+def _spans(line: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a line start and end."""
+    lengths = np.fromiter(map(len, words), np.int64, count=len(words))
+    lead = len(line) - len(line.lstrip())
+    if lengths.sum() + len(words) - 1 == len(line.rstrip()) - lead:  # one character between words
+        ends = lead + np.cumsum(lengths + 1) - 1
+        return ends - lengths, ends
+    found = np.array([m.span() for m in _WORD.finditer(line)])
+    return found[:, 0], found[:, 1]
+
+
+def gram_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash per run of GRAM words: hashes of 2, 4, 8 and 16 words, then of two overlapping runs of 16."""
+
+    def two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0xD6E8FEB86659FD93))
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(31))
+
+    size = 1
+    while 2 * size <= GRAM:
+        hashes, size = two(hashes[: len(hashes) - size], hashes[size:]), 2 * size
+    return two(hashes[: len(hashes) - (GRAM - size)], hashes[GRAM - size :])
+
+
+def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
+    """The least or largest value (of: np.minimum, np.maximum) of every window of ``width`` values."""
+    size = 1
+    while 2 * size <= width:
+        values, size = of(values[: len(values) - size], values[size:]), 2 * size
+    return of(values[: len(values) - (width - size)], values[width - size :])
+
+
+def picked(grams: np.ndarray) -> np.ndarray:
+    """The positions of hashes that are the smallest of some window of WINDOW neighbours (of all, if fewer)."""
+    width = min(WINDOW, len(grams))
+    least = _slide(grams, width, np.minimum)
+    pad = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(grams == _slide(np.concatenate([pad, least, pad]), width, np.maximum))
+
+
+def lines_of(text: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(number, start, end, word hashes) of the lines of at least MIN_WORDS words; words have no white space."""
     at = number = 0
     for line in text.split("\n"):
         words = line.split() if len(line) >= 2 * MIN_WORDS - 1 else ()
         if len(words) >= MIN_WORDS:
-            hashes = _hash_array(words)
-            yield number, False, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), hashes
+            yield number, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), _hash_array(words)
             number += 1
-            if len(words) > LONG:
-                cuts = np.flatnonzero(hashes % np.uint64(CUT_EVERY) == 0) + 1
-                edges = np.unique(np.concatenate([[0], cuts, [len(words)]]))
-                pieces = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= MIN_PIECE]
-                found = [m.span() for m in _WORD.finditer(line)] if pieces else []
-                for a, b in pieces:
-                    yield number, True, at + found[a][0], at + found[b - 1][1], hashes[a:b]
-                    number += 1
         at += len(line) + 1
 
 
+def units_of(text: str) -> Iterator[tuple[int, bool, int, int, int, int, np.ndarray | None]]:
+    """(number, piece?, start, end, words, class, word hashes of a line) of the units of a whole text.
+
+    Lines are numbered; a piece has the number of its first word.
+    """
+    at = number = 0
+    hashes, starts, ends = [], [], []
+    for line in text.split("\n"):
+        words = line.split()
+        if words:
+            here = _hash_array(words)
+            a, b = _spans(line, words)
+            if len(words) >= MIN_WORDS:
+                yield number, False, at + int(a[0]), at + int(b[-1]), len(words), _class(here), here
+                number += 1
+            hashes.append(here)
+            starts.append(a + at)
+            ends.append(b + at)
+        at += len(line) + 1
+    if sum(map(len, hashes)) >= GRAM:
+        grams, start, end = gram_hashes(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
+        for i in picked(grams).tolist():
+            yield i, True, int(start[i]), int(end[i + GRAM - 1]), GRAM, int(grams[i : i + 1].view(np.int64)[0]), None
+
+
 def _bands(shingles: list[np.ndarray]) -> np.ndarray:
     """BANDS keys per set of shingles."""
     joined = np.concatenate(shingles)
@@ -113,13 +180,14 @@ def text_units(docs: DataFrame, key: str, text: str) -> DataFrame:
                 some = batch.iloc[at : at + 200]
                 rows, shingles, lines = [], [], []
                 for doc, whole in zip(some["k"], some["t"], strict=True):
-                    for number, piece, start, end, hashes in units_of(whole) if whole else ():
+                    row = _row(whole) if whole else 0
+                    for number, piece, start, end, size, hashed, hashes in units_of(whole) if whole else ():
                         if not piece:
                             lines.append(len(rows))
                             shingles.append(shingle_array(hashes))
-                        rows.append([doc, number, piece, start, end - start, len(hashes), _class(hashes), None])
+                        rows.append([doc, row, number, piece, start, end - start, size, hashed, None])
                 if rows:
-                    for i, bands in zip(lines, _bands(shingles), strict=True):
+                    for i, bands in zip(lines, _bands(shingles) if lines else (), strict=True):
                         rows[i][-1] = bands
                     frame = pd.DataFrame(rows, columns=names)
                     frame["doc"] = frame["doc"].astype("Int64")
@@ -161,7 +229,7 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> Data
             out = []
             for whole, want in zip(batch["t"], batch["wanted"], strict=True):
                 numbers = {(w["unit"], w["class"]) for w in want}
-                for number, _, _, _, hashes in units_of(whole) if whole else ():
+                for number, _, _, hashes in lines_of(whole) if whole else ():
                     if (number, c := _class(hashes)) in numbers:
                         out.append((c, np.unique(shingle_array(hashes)).view(np.int64)))
             yield pd.DataFrame(out, columns=["class", "shingles"])
@@ -222,25 +290,60 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> Data
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per unit that repeats or nearly repeats elsewhere (or in its own document).
 
-    Returns key, unit (number in the text), piece, start, n_chars (code points), n_words, component_doc and
-    component_unit (the cluster's first unit, by key and number), removed (false for that first unit). Null
-    and empty texts, short lines and unique units give no row; rows with a null key sort last. Repeated rows
-    of ``docs`` repeat each other. Other columns are ignored; an empty table gives an empty result.
+    Returns key, unit (number of the line in the text; of a piece's first word), piece, start, n_chars (code
+    points), n_words, component_doc and component_unit (the cluster's first unit, by key and number; for a
+    piece, the first word of its first occurrence), removed (false for that first unit). Pieces are equal runs
+    of GRAM words or more, their ends up to WINDOW - 1 words short of the whole passage; a run that overlaps
+    its first occurrence is no repeat. Null and empty texts, short lines and unique units give no row; rows
+    with a null key sort last. Repeated rows of ``docs`` repeat each other; pieces of rows that are alike in key
+    and text come once. Other columns are ignored; an empty table gives an empty result.
     """
     units = cut(text_units(docs, key, text))
+    lines = units.where("not piece")
     found = connected_components(near_classes(units, docs, key, text), "a", "b").withColumnRenamed("node", "class")
     first = F.struct(F.col("doc").isNull().alias("none"), "doc", "unit")
-    classes = units.groupBy("class").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    classes = lines.groupBy("class").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     rooted = classes.join(found, "class", "left").withColumn("root", F.coalesce("component", "class"))
     rooted = cut(rooted.select("class", "root", "n", "first"))
     clusters = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
     named = rooted.select("class", "root").join(clusters.select("root", "first"), "root").select("class", "first")
-    rows = units.join(named, "class")
+    rows = lines.join(named, "class")
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("unit") == F.col("first.unit"))
-    return rows.select(
+    whole = rows.select(
         F.col("doc").alias(key), "unit", "piece", "start", "n_chars", "n_words",
         F.col("first.doc").alias("component_doc"), F.col("first.unit").alias("component_unit"), (~same).alias("removed"),
     )
+    return whole.union(_repeated_runs(units).withColumnRenamed("doc", key))
+
+
+def _repeated_runs(units: DataFrame) -> DataFrame:
+    """The pieces that repeat, neighbours with the same first occurrence as one row; columns as above."""
+    at = F.struct(F.col("doc").isNull().alias("none"), "doc", "unit", "row")
+    pieces = units.where("piece").select("doc", "row", "unit", "start", "n_chars", "class")
+    ends = pieces.groupBy("class").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    inside = F.col("last.doc").eqNullSafe(F.col("first.doc")) & (F.col("last.row") == F.col("first.row"))
+    apart = F.col("last.unit") - F.col("first.unit")
+    ends = ends.where("n > 1").where(~inside | (apart >= GRAM) | (apart == 0)).select("class", "first")
+    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("row") == F.col("first.row"))
+    shift = F.col("unit") - F.col("first.unit")
+    rows = pieces.join(ends, "class").where(~same | (shift == 0) | (shift >= GRAM))
+    rows = rows.select(
+        "doc", "row", "unit", "start", (F.col("start") + F.col("n_chars")).alias("end"),
+        F.col("first.doc").alias("component_doc"), F.col("first.row").alias("first_row"), shift.alias("shift"),
+        (~same | (shift != 0)).alias("removed"),
+    )
+    by = ["doc", "row", "component_doc", "first_row", "shift", "removed"]
+    order = Window.partitionBy(*by).orderBy("unit")
+    fresh = F.col("unit") - F.coalesce(F.lag("unit").over(order), F.lit(-GRAM - 1)) > GRAM
+    runs = rows.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order))
+    runs = runs.groupBy(*by, "run").agg(
+        F.min("unit").alias("unit"), F.max("unit").alias("to"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    return runs.select(
+        "doc", "unit", F.lit(True).alias("piece"), "start", (F.col("end") - F.col("start")).alias("n_chars"),
+        (F.col("to") - F.col("unit") + GRAM).alias("n_words"), "component_doc",
+        (F.col("unit") - F.col("shift")).alias("component_unit"), "removed",
+    )
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,6 +123,32 @@ def test_repeated_paragraphs(spark):
     assert substring.repeated_units(df.limit(0)).collect() == []
 
 
+def test_every_passage_of_51_words(spark):
+    """Planted once in lines of 15, 70 and 300 words, and across lines; each has all its copies found."""
+    rng, rows = random.Random(4), []
+    for case, width in enumerate((15, 70, 300) * 12):
+        passage = words(rng, 51, 9000).split()
+        for copy in range(2):
+            before, after = rng.randrange(20, 230), rng.randrange(20, 230)
+            if width == 70:
+                before = rng.randrange(0, 19)
+                after = 19 - before
+            stream = words(rng, before, 9000).split() + passage + words(rng, after, 9000).split()
+            lines = [" ".join(stream[i : i + width]) for i in range(0, len(stream), width)]
+            rows.append((2 * case + copy, "\n".join(lines), " ".join(passage)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, passage string")
+    found = {}
+    for r in substring.repeated_units(df).where("piece").collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    for i, text, passage in rows:
+        (r,) = found[i]
+        held = text[r["start"] : r["start"] + r["n_chars"]].split()
+        assert len(held) == r["n_words"] >= substring.GRAM and " ".join(held) in passage
+        assert r["component_doc"] == i - i % 2 and r["removed"] == (i % 2 == 1)
+        assert text.split()[r["unit"] : r["unit"] + r["n_words"]] == held
+        assert rows[r["component_doc"]][1].split()[r["component_unit"] : r["component_unit"] + r["n_words"]] == held
+
+
 def test_near_classes_match_all_pairs(spark):
     """A chain of lines in which neighbours are near and the ends are not is one cluster."""
     rng = random.Random(8)
