@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.durable import cut
+from fieldscope.llm import substring
 from fieldscope.operators.components import connected_components
 
 #: Most differing bits of a link; segments of two bits have counts 0..2, dealt to BANDS bands of the grid.
@@ -172,16 +173,36 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInPandas(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b) pairs of fingerprints of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Such texts can be many bits apart: they meet in MinHash bands and are verified on the shingles. Rows with
+    a null key take no part.
+    """
+    docs = docs.where(F.col(key).isNotNull()).select(key, text)
+    texts = cut(substring.whole_texts(docs, key, text, fingerprint))
+    links = substring.near_classes(texts, docs, key, text, substring.whole_of)
+    own = texts.groupBy("class").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"))
+    a, b = own.select(F.col("class").alias("a"), F.col("fp").alias("fa")), own.select(F.col("class").alias("b"), F.col("fp").alias("fb"))
+    between = links.join(a, "a").join(b, "b").where("fa <> fb").select("fa", "fb")
+    return cut(between.union(own.where("fp <> other").select("fp", "other")).toDF("a", "b").distinct())
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """(key, fingerprint, component_id) for every row: the smallest key reachable over links.
 
+    similar: texts of Jaccard similarity 0.8 link too (``similar_links``), however many bits they are apart.
+
     Null and empty texts have fingerprint 0 and link like any other. Equal fingerprints count once until
     the end, so groups of copies cost one row. Null keys are kept; a component of null keys only has a null
     id. Repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, key, text))
     smallest = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = connected_components(near_links(smallest.select("fp")), "a", "b")
+    links = near_links(smallest.select("fp"))
+    if similar:
+        links = links.union(similar_links(docs, key, text))
+    found = connected_components(links, "a", "b")
     rooted = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
@@ -196,9 +217,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the row with the smallest key (one of those, if it repeats).
 
+    Groups link texts within MAX_BITS bits or of similarity 0.8 in five-word shingles.
+
     Rows with a null key cannot be told apart and all stay. Columns stay as they are.
     """
-    groups = near_duplicates(docs, key, text).select(F.col("component_id").alias("_kept_key")).distinct()
+    groups = near_duplicates(docs, key, text, similar=True).select(F.col("component_id").alias("_kept_key")).distinct()
     rows = docs.join(groups, F.col(key) == F.col("_kept_key"), "left_semi")
     if rows.groupBy(key).count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates([key])

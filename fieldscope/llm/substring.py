@@ -12,7 +12,7 @@ occurrence become one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -205,8 +205,33 @@ def _near(a: frozenset, b: frozenset) -> bool:
     return both >= THRESHOLD * (small + large - both) - 1e-9
 
 
-def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b): verified links that connect near classes of lines.
+def whole_of(text: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """A text with a word as one line, like ``lines_of``."""
+    if words := text.split():
+        yield 0, 0, len(text), _hash_array(words)
+
+
+def whole_texts(docs: DataFrame, key: str, text: str, mark: Callable[[str], int]) -> DataFrame:
+    """(doc, unit, piece, class, fp, bands) of every row with a word, its whole text as one line; fp: its ``mark``."""
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                some = batch.iloc[at : at + 200]
+                texts = [(doc, h, t) for doc, t in zip(some["k"], some["t"], strict=True) for *_, h in whole_of(t or "")]
+                if texts:
+                    bands = list(_bands([shingle_array(h) for _, h, _ in texts]))
+                    frame = pd.DataFrame({"doc": [doc for doc, *_ in texts], "unit": 0, "piece": False})
+                    frame["doc"] = frame["doc"].astype("Int64")
+                    prints = np.array([mark(t) for *_, t in texts], np.uint64).view(np.int64)
+                    yield frame.assign(**{"class": [_class(h) for _, h, _ in texts], "fp": prints, "bands": bands})
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return rows.mapInPandas(per_batch, "doc long, unit int, piece boolean, class long, fp long, bands array<long>")
+
+
+def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str, lines_in=lines_of) -> DataFrame:
+    """(a, b): verified links that connect near classes of lines (of what ``lines_in`` takes as lines).
 
     First every member of a cell (a band's key) is checked against the cell's smallest class. Cells whose
     members then lie in different components are compared whole, in pairs of blocks of at most BLOCK members,
@@ -229,7 +254,7 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str) -> Data
             out = []
             for whole, want in zip(batch["t"], batch["wanted"], strict=True):
                 numbers = {(w["unit"], w["class"]) for w in want}
-                for number, _, _, hashes in lines_of(whole) if whole else ():
+                for number, _, _, hashes in lines_in(whole) if whole else ():
                     if (number, c := _class(hashes)) in numbers:
                         out.append((c, np.unique(shingle_array(hashes)).view(np.int64)))
             yield pd.DataFrame(out, columns=["class", "shingles"])

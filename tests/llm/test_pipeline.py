@@ -56,6 +56,22 @@ def test_stages(spark, folder):
             docs, kept = spark.createDataFrame(got, docs.schema), ids
 
 
+def test_near_copies_beyond_the_bits_go(spark):
+    rng, rows = random.Random(6), []
+    for i in range(12):
+        text = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((2 * i, " ".join(text)))
+        text[60], text[90] = "changed", "words"
+        rows.append((2 * i + 1, " ".join(text)))
+    assert sum((slow_simhash(rows[i][1]) ^ slow_simhash(rows[i + 1][1])).bit_count() > 3 for i in range(0, 24, 2)) >= 6
+    df = spark.createDataFrame([(k, t, None, None, 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = (" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(2))
+    # Two texts of one key are not links of each other.
+    df = df.union(spark.createDataFrame([(k, t, None, None, 1) for k, t in ((99, one), (100, one), (100, two))], df.schema))
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(0, 24, 2), 99, 100]
+
+
 def test_run_is_the_stages_in_turn(spark, folder):
     where, _ = folder
     first = sorted(map(tuple, corpus_pipeline.run(spark, where).collect()))
