@@ -110,9 +110,14 @@ def contained_items(
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; columns stay as they are."""
-    held = contained_items(docs, benchmark, key, text).select(F.col(key).alias("_held")).distinct()
-    return docs.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark item; columns stay as they are.
+
+    Null and repeated keys are told apart by their texts.
+    """
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
+    held = contained_items(docs.select(row.alias("row"), F.col(text).alias("text")), benchmark, "row", "text")
+    held = held.select(F.col("row").alias("_held")).distinct()
+    return docs.join(held, row.eqNullSafe(F.col("_held")), "left_anti")
 
 
 CONTAINED_SQL = r"""

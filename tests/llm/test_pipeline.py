@@ -72,6 +72,15 @@ def test_near_copies_beyond_the_bits_go(spark):
     assert sorted(r["doc_id"] for r in kept) == [*range(0, 24, 2), 99, 100]
 
 
+def test_only_rows_with_an_item_go(spark, folder):
+    """Null and repeated ids: each row is judged by its own text."""
+    where, rows = folder
+    held, clean = next(r[1] for r in rows if r[0] == 320), rows[0][1]
+    df = spark.createDataFrame([(None, held), (None, clean), (7, held), (7, clean), (None, None), (8, clean)], "doc_id long, text string")
+    left = corpus_pipeline.decontamination(spark, df, where).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(0, clean), (7, clean), (0, ""), (8, clean)])
+
+
 def test_run_is_the_stages_in_turn(spark, folder):
     where, _ = folder
     first = sorted(map(tuple, corpus_pipeline.run(spark, where).collect()))
