@@ -13,42 +13,37 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u.
+
+    The sum with 0 hides from Spark that the rows are already dealt by u: a join with them then deals both
+    sides anew, and Spark may split the edges of a node with very many neighbours among tasks.
+    """
+    return edges.groupBy(F.col("u").alias("g")).agg(F.min("v").alias("m")).select((F.col("g") + F.lit(0)).alias("u"), "m")
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node that an edge touches; component is the smallest node reachable.
 
-    Self loops, repeated edges and either orientation are fine; edges with a null end are ignored.
-    Each round sends every edge to the smallest neighbour of its ends (minimum by partial aggregation,
-    then a join that AQE may split at hot nodes); it ends when no edge moves. Rounds are checkpointed.
+    Nodes are longs. Self loops, repeated edges and either orientation are fine; edges with a null end are
+    ignored. Each round sends every edge to the smallest neighbour of its ends (minimum by partial aggregation,
+    then a join that AQE may split at hot nodes); it ends when no edge moves, after about log(n) rounds. Rounds
+    are checkpointed.
     """
-    e = (
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where(F.col(left).isNotNull() & F.col(right).isNotNull())
-        .distinct()
-    )
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    nodes = cut(nodes)
-    e = cut(e.where("u > v"))
-    before = _digest(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    u, v = F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v")
+    known = F.col(left).isNotNull() & F.col(right).isNotNull()
+    e = cut(edges.where(known).select(u, v).distinct())
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = e.where("u > v")
+    before = None
+    while (now := _digest(e)) != before and now[0]:
+        before = now
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        both = both.select("e.u", "e.v")
+        least = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .where("v > m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        e = cut(small)
-        after = _digest(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        low = _least(large)
+        small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.distinct())
     root = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.functions.scalar import day_span, ratio
+from fieldscope.operators.ordering import exact_quantiles
 
 POINT = ("latitud", "longitud", "barrio")
 POINT_ROUTE = (*POINT, "nom_ruta")
@@ -113,19 +114,17 @@ def density_kpis(df: DataFrame, indicator: str) -> DataFrame:
     return df.agg(F.countDistinct("barrio").alias("barrios"), F.avg(indicator).alias("promedio"))
 
 
-def breaks(df: DataFrame, column: str, probs: Sequence[float] = BREAKS, power: float | None = None, exact: bool = True) -> DataFrame:
-    """(prob, valor, posicion): percentiles and their place between smallest and largest; null place if all are equal.
+def breaks(df: DataFrame, column: str, probs: Sequence[float] = BREAKS) -> DataFrame:
+    """(prob, valor, posicion): exact percentiles and their place between smallest and largest; null place if all are equal."""
+    *found, lo, hi = exact_quantiles(df, column, [*probs, 0.0, 1.0])
+    place = [None if v is None or hi == lo else (v - lo) / (hi - lo) for v in found]
+    rows = [(float(p), v, at) for p, v, at in zip(probs, found, place, strict=True)] if lo is not None else []
+    return df.sparkSession.createDataFrame(rows, "prob double, valor double, posicion double")
 
-    exact=False takes the sketch of ``percentile_approx``, for columns with very many distinct values.
-    """
-    v = F.col(column).cast("double")
-    v = F.pow(v, F.lit(power)) if power is not None else v
-    grid = F.array(*[F.lit(float(p)) for p in probs])
-    found = F.percentile(v, grid) if exact else F.percentile_approx(v, grid, 10_000)
-    row = df.agg(found.alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    row = row.select("lo", "hi", F.explode(F.arrays_zip(grid.alias("p"), F.col("q").alias("q"))).alias("z"))
-    place = (F.col("z.q") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    return row.select(F.col("z.p").alias("prob"), F.col("z.q").alias("valor"), place.alias("posicion"))
+
+def cuts(df: DataFrame, column: str, probs: Sequence[float] = CUTS) -> DataFrame:
+    """``breaks`` of the values with power scaling: (v / max)^0.3 if the largest is below 1, else v."""
+    return breaks(scale(df.select(column), column, "power"), "peso", probs)
 
 
 def stops(found: DataFrame) -> DataFrame:
@@ -151,7 +150,9 @@ def scale(df: DataFrame, column: str, mode: str = "minmax") -> DataFrame:
 
 
 def center(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    return df.agg(F.median(lat).alias("latitud"), F.median(lon).alias("longitud"))
+    """(latitud, longitud): the exact median of each."""
+    row = (*exact_quantiles(df, lat, [0.5]), *exact_quantiles(df, lon, [0.5]))
+    return df.sparkSession.createDataFrame([row], "latitud double, longitud double")
 
 
 def agents(events: DataFrame) -> DataFrame:

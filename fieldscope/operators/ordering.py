@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +33,44 @@ def range_bucket(column: Column, bounds: list[int]) -> Column:
         return F.when((at + width <= len(bounds)) & (F.element_at(table, probe) <= column), at + width).otherwise(at)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], most: int = 200_000, error: float = 0.001) -> list[float | None]:
+    """Exact percentiles with linear interpolation, one for each of ``probs``; None where there is no number.
+
+    An approximate summary brackets each wanted rank; rows below a bracket are counted, and only the values
+    inside it, ``most`` rows or one value (else the bracket is narrowed again), are put in order. Nothing but
+    the brackets and the wanted values reaches the driver. Nulls and NaN are left out.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    ends = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n = ends["n"]
+    if not n:
+        return [None] * len(probs)
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    brackets = {r: (ends["lo"], ends["hi"], 0, n) for r in ranks}
+    while wide := [r for r, (lo, hi, _, inside) in brackets.items() if inside > most and lo < hi]:
+        for of in {brackets[r] for r in wide}:
+            lo, hi, below, inside = of
+            mine = [r for r in wide if brackets[r] == of]
+            near = [(r - below + 0.5) / inside for r in mine]
+            sides = [x for q in near for x in (max(0.0, q - 2 * error), min(1.0, q + 2 * error))]
+            found = values.where(F.col("v").between(lo, hi)).approxQuantile("v", sides, error)
+            brackets |= {r: (found[2 * i], found[2 * i + 1], below, inside) for i, r in enumerate(mine)}
+        counts = [x for r in wide for x in (F.count_if(F.col("v") < brackets[r][0]), F.count_if(F.col("v").between(*brackets[r][:2])))]
+        row = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        brackets |= {r: (*brackets[r][:2], row[2 * i], row[2 * i + 1]) for i, r in enumerate(wide)}
+    wanted: dict[tuple, list[int]] = {}
+    for r in ranks:
+        wanted.setdefault(brackets[r][:3], []).append(r)
+    table = F.array(*[
+        F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(below).cast("long").alias("below"), F.array(*[F.lit(r).cast("long") for r in of]).alias("ranks"))
+        for (lo, hi, below), of in wanted.items()
+    ])
+    inside = values.groupBy("v").agg(F.count("*").alias("n"))
+    inside = inside.select("v", "n", F.explode(F.filter(table, lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
+    upto = F.sum("n").over(Window.partitionBy("b.lo", "b.hi").orderBy("v")) + F.col("b.below")
+    hit = inside.withColumn("upto", upto).select("v", F.explode(F.filter("b.ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("r"))
+    at = {x["r"]: x["v"] for x in hit.collect()}  # two ranks per probability
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,39 +12,80 @@ from fieldscope.functions.scalar import bearing, bearing_class
 from fieldscope.operators.components import connected_components
 from fieldscope.operators.conform import first_n
 from fieldscope.operators.joins import keep_top
+from fieldscope.operators.ordering import quantile_bounds, range_bucket
+
+
+#: Cells whose points can be within reach of a cell of side eps / sqrt(2), itself left out.
+_AROUND = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) != (0, 0) and abs(dy) + abs(dx) < 4]
+
+
+def _beside(df: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
+    """Rows once per cell around theirs: that cell as (g, oy, ox)."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy, dx in around])
+    df = df.withColumn("_step", F.explode(steps))
+    return df.withColumns({"oy": F.col("cy") + F.col("_step.y"), "ox": F.col("cx") + F.col("_step.x")}).drop("_step")
 
 
 def dbscan(df: DataFrame, group: str, id_: str, lat: str, lon: str, eps: float = 0.001, min_points: int = 3) -> DataFrame:
     """Add ``cluster``: DBSCAN inside each group, distances in coordinate units; -1 is noise.
 
-    Rows at one position count as one with a weight. A grid of cell width eps, replicated to neighbour cells,
-    makes the neighbour search an equi-join on (group, cell); clusters are the components of core positions;
-    a border position takes its core neighbour's cluster of smallest id. Clusters are numbered from 0 by their
-    smallest core id. Rows with a null group or coordinate are noise. ids must be unique and integral.
+    Rows at one position count as one with a weight. Cells have side eps / sqrt(2), so that all rows of a cell
+    are neighbours: a cell of min_points rows is all core, and only the few positions of sparser cells look
+    for neighbours, which keeps their number in proportion to the rows. Core cells link by their outermost
+    positions; only cells around each other that are then still in different components are compared position
+    by position. Clusters are components of core cells; a border position takes its core neighbour's cluster
+    of smallest id. Clusters are numbered from 0 by their smallest core id. Rows with a null group or
+    coordinate are noise. ids must be unique and integral.
     """
+    side, reach = eps / math.sqrt(2), F.lit(eps) * F.lit(eps)
     named = df.where(F.col(group).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
     at = named.groupBy(F.col(group).alias("g"), F.col(lat).alias("y"), F.col(lon).alias("x")).agg(
         F.count("*").alias("n"), F.min(id_).alias("p")
     )
-    at = cut(at.withColumns({"cy": F.floor(F.col("y") / eps), "cx": F.floor(F.col("x") / eps)}))
-    around = F.array(*map(F.lit, (-1, 0, 1)))
-    near = at.select("g", "p", "y", "x", "cx", "cy", F.explode(around).alias("dy"))
-    near = near.select("g", "p", "y", "x", "cx", (F.col("cy") + F.col("dy")).alias("cy"), F.explode(around).alias("dx"))
-    near = near.select("g", "p", "y", "x", "cy", (F.col("cx") + F.col("dx")).alias("cx"))
-    other = at.select("g", "cy", "cx", F.col("p").alias("q"), F.col("n").alias("qn"), F.col("y").alias("qy"), F.col("x").alias("qx"))
+    at = at.withColumns({"cy": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / side)})
+    cells = at.groupBy("g", "cy", "cx").agg(F.sum("n").alias("cell_n"))
+    at = cut(at.join(cells, ["g", "cy", "cx"]))
     dy, dx = F.col("y") - F.col("qy"), F.col("x") - F.col("qx")
-    pairs = near.join(other, ["g", "cy", "cx"]).where(dy * dy + dx * dx <= F.lit(eps) * F.lit(eps)).select("p", "q", "qn")
-    pairs = cut(pairs)
-    core = cut(pairs.groupBy("p").agg(F.sum("qn").alias("k")).where(F.col("k") >= min_points).select("p"))
-    to_core = pairs.join(core.select(F.col("p").alias("q")), "q", "left_semi").select("p", "q")
-    parts = connected_components(to_core.join(core, "p", "left_semi"), "p", "q")
-    cores = parts.select(F.col("node").alias("q"), F.col("component").alias("label"))
-    labels = to_core.join(cores, "q").groupBy("p").agg(F.min("label").alias("label"))
-    found = at.join(labels, "p").select("g", "y", "x", "label")
+    near = dy * dy + dx * dx <= reach
+    sparse = _beside(at.where(F.col("cell_n") < min_points), [(0, 0), *_AROUND])
+    others = at.select("g", F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("p").alias("q"), F.col("n").alias("qn"))
+    pairs = sparse.join(others, ["g", "oy", "ox"]).where(near)
+    counted = pairs.groupBy("p").agg(F.sum("qn").alias("k")).where(F.col("k") >= min_points).select("p")
+    dense = at.where(F.col("cell_n") >= min_points)
+    core = cut(dense.unionByName(at.where(F.col("cell_n") < min_points).join(counted, "p", "left_semi")))
+    # A core cell is named by its smallest core id; its four outermost positions stand for it at first.
+    spot = F.struct("y", "x")
+    ends = [of(spot, F.col(c)).alias(f"{of.__name__}_{c}") for of in (F.min_by, F.max_by) for c in ("y", "x")]
+    boxes = core.groupBy("g", "cy", "cx").agg(F.min("p").alias("cell"), *ends)
+    boxes = cut(boxes.select("g", "cy", "cx", "cell", F.array(*[f"{of}_{c}" for of in ("min_by", "max_by") for c in ("y", "x")]).alias("spots")))
+    half = [s for s in _AROUND if s > (0, 0)]
+    beside = _beside(boxes, half).join(
+        boxes.select("g", F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("cell").alias("other"), F.col("spots").alias("far")), ["g", "oy", "ox"]
+    )
+    close = lambda a, b: (a["y"] - b["y"]) * (a["y"] - b["y"]) + (a["x"] - b["x"]) * (a["x"] - b["x"]) <= reach
+    linked = F.exists("spots", lambda a: F.exists("far", lambda b: close(a, b)))
+    beside = cut(beside.select("cell", "other", linked.alias("linked")))
+    links = beside.where("linked").select("cell", "other")
+    parts = connected_components(links, "cell", "other")
+    root = boxes.select("cell").join(parts.withColumnRenamed("node", "cell"), "cell", "left")
+    root = cut(root.select("cell", F.coalesce("component", "cell").alias("root")))
+    apart = beside.where("not linked").join(root, "cell").join(root.select(F.col("cell").alias("other"), F.col("root").alias("far")), "other")
+    apart = apart.where("root <> far").select("cell", "other")
+    placed = core.join(boxes.select("g", "cy", "cx", "cell"), ["g", "cy", "cx"])
+    ours = placed.select("cell", "y", "x").join(apart, "cell")
+    theirs = placed.select(F.col("cell").alias("other"), F.col("y").alias("qy"), F.col("x").alias("qx"))
+    late = ours.join(theirs, "other").where(near).select("cell", "other").distinct()
+    joined = late.join(root, "cell").join(root.select(F.col("cell").alias("other"), F.col("root").alias("far")), "other")
+    parts = connected_components(joined, "root", "far").withColumnRenamed("node", "root")
+    root = root.join(parts, "root", "left").select("cell", F.coalesce("component", "root").alias("label"))
+    labelled = placed.join(root, "cell").select("g", "y", "x", "p", "label")
+    border = sparse.join(counted, "p", "left_anti").select("g", "oy", "ox", "y", "x", "p")
+    reached = placed.join(root, "cell").select("g", F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("y").alias("qy"), F.col("x").alias("qx"), "label")
+    reached = border.join(reached, ["g", "oy", "ox"]).where(near).groupBy("g", "y", "x", "p").agg(F.min("label").alias("label"))
+    found = cut(labelled.unionByName(reached).select("g", "y", "x", "label"))
     order = found.select("g", "label").distinct()
     number = (F.row_number().over(Window.partitionBy("g").orderBy("label")) - 1).cast("long")
-    named_clusters = order.select("g", "label", number.alias("cluster"))
-    by_position = found.join(named_clusters, ["g", "label"]).select(
+    by_position = found.join(order.select("g", "label", number.alias("cluster")), ["g", "label"]).select(
         F.col("g").alias(group), F.col("y").alias(lat), F.col("x").alias(lon), "cluster"
     )
     out = df.join(by_position, [group, lat, lon], "left")
@@ -66,12 +109,28 @@ def nearest_to_centroid(df: DataFrame, group: str, id_: str, lat: str, lon: str,
     return first_n(rows, group, ["distancia", id_], n)
 
 
-def segments(df: DataFrame, group: str, order_by: str, lat: str, lon: str) -> DataFrame:
-    """Stops in order (1-based) with the next stop's position; the last has none."""
-    w = Window.partitionBy(group).orderBy(order_by)
-    return df.select(
-        group, order_by, F.row_number().over(w).alias("orden"), F.col(lat).alias("lat"), F.col(lon).alias("lon"),
-        F.lead(lat).over(w).alias("lat_sig"), F.lead(lon).over(w).alias("lon_sig"),
+def segments(df: DataFrame, group: str, order_by: str, lat: str, lon: str, rows_per_range: int = 500_000) -> DataFrame:
+    """Stops in order (1-based) with the next stop's position; the last has none. order_by is integral and unique.
+
+    Groups are split in ranges of order_by of about ``rows_per_range`` rows, so that no group is one task's
+    work; a small table of (group, range) gives each range its offset and the next range's first stop.
+    """
+    rows = df.select(group, order_by, F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    bounds = quantile_bounds(rows, order_by, rows.count() // rows_per_range) if rows_per_range else []
+    rows = rows.withColumn("_range", range_bucket(F.col(order_by), bounds))
+    ranges = rows.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(
+        F.count("*").alias("n"), F.min_by(F.struct("lat", "lon"), order_by).alias("first")
+    )
+    by = Window.partitionBy("_group").orderBy("_at")
+    before = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_group", "_at", F.coalesce(before, F.lit(0)).alias("_before"), F.lead("first").over(by).alias("_next"))
+    rows = rows.join(ranges, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    w = Window.partitionBy(group, "_range").orderBy(order_by)
+    following = F.coalesce(F.lead(F.struct("lat", "lon")).over(w), F.col("_next"))
+    rows = rows.withColumn("_sig", following)
+    return rows.select(
+        group, order_by, (F.col("_before") + F.row_number().over(w)).cast("int").alias("orden"), "lat", "lon",
+        F.col("_sig.lat").alias("lat_sig"), F.col("_sig.lon").alias("lon_sig"),
     )
 
 
@@ -80,6 +139,6 @@ def trace(
 ) -> DataFrame:
     """Visit routes of the k busiest groups: densest cluster, n stops nearest its centre, segments and their class."""
     stops = densest(dbscan(keep_top(df, group, k), group, id_, lat, lon, eps, min_points), group, id_, n)
-    out = segments(nearest_to_centroid(stops, group, id_, lat, lon, n), group, id_, lat, lon)
+    out = segments(nearest_to_centroid(stops, group, id_, lat, lon, n), group, id_, lat, lon, rows_per_range=0)
     angle = bearing(F.col("lat"), F.col("lon"), F.col("lat_sig"), F.col("lon_sig"), wrap=True)
     return out.withColumn("clase", F.when(F.col("lat_sig").isNotNull(), bearing_class(angle)))

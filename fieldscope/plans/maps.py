@@ -10,7 +10,7 @@ from fieldscope.operators.filters import (
 )
 from fieldscope.operators.layers import cluster, density_layer, event_layer, heat_layer, marker_layer
 from fieldscope.operators.metrics import (
-    POINT, agents, breaks, debt_kpis, debt_points, density_kpis, event_kpis, frequencies, order_kpis, points, shares, top_values,
+    POINT, agents, breaks, cuts, debt_kpis, debt_points, density_kpis, event_kpis, frequencies, order_kpis, points, shares, top_values,
 )
 from fieldscope.operators.trends import daily_counts, trend
 from fieldscope.plans.bases import Filter, debt_base, orders_base, samples_base, visits_base
@@ -70,7 +70,7 @@ def density_map(t: Tables, indicator: str) -> dict[str, DataFrame]:
         "points": density_layer(at, indicator),
         "heat": heat_layer(at, indicator, "power" if indicator == "cobertura" else "minmax"),
         "clusters": cluster(at, indicator, ZOOMS, by=None, how="avg"),
-        "breaks": breaks(at, indicator),
+        "breaks": cuts(at, indicator) if indicator == "cobertura" else breaks(at, indicator),
         "kpi": density_kpis(at, indicator),
     }
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +58,14 @@ ORDERS_SQL = f"""select o.id, o.id_contacto, o.id_barrio, o.id_centroope, o.fech
  and fecha_hora_pedido between timestamp '{ORDERS.start} 00:00:00' and timestamp '{ORDERS.end} 23:59:59'"""
 EVENT_COLUMNS = (
     "idEvento", "id_contacto", "id_autor", "fecha_evento", "hora_evento", "tipo_evento", "id_evento_tipo", LAT, LON,
-    "id_barrio", "barrio", "id_estrato", "ciudad", "id_centroope", "latitud", "longitud", "nom_ruta",
+    "id_barrio", "barrio", "id_estrato", "ciudad", "id_centroope", "latitud", "longitud", "ruta_cobro", "nom_ruta",
 )
 
 
 def events_sql(types: tuple[int, ...]) -> str:
     return f"""select e.idEvento, e.id_contacto, e.id_autor, e.fecha_evento, cast(hour(e.fecha_evento) as int) hora_evento,
  e.tipo_evento, e.id_evento_tipo, e.{LAT}, e.{LON}, n.id_barrio, b.barrio, b.id_estrato, c.ciudad, c.id_centroope,
- k.latitud, k.longitud, k.nom_ruta from {{eventos}} e left join {{contactos}} n on n.id = e.id_contacto
+ k.latitud, k.longitud, k.ruta_cobro, k.nom_ruta from {{eventos}} e left join {{contactos}} n on n.id = e.id_contacto
  left join {{barrios}} b on b.id = n.id_barrio left join {{ciudades}} c on c.id = n.id_ciudad
  left join {{coords}} k on k.id_barrio = n.id_barrio where e.id_evento_tipo in ({", ".join(map(str, types))})
  and e.{LAT} <> 0 and e.{LON} <> 0
@@ -88,7 +89,7 @@ DEBT_COLUMNS = (
 
 def debt_sql(key: str) -> str:
     return f"""select i.num_factura, i.id_contacto, i.id_barrio, i.barrio, i.ciudad, i.valor_mora, i.edad, i.fecha_venta,
- k.latitud, k.longitud, k.ruta_cobro, k.nom_ruta from (select *, row_number() over (partition by {key}
+ k.latitud, k.longitud, k.ruta_cobro, k.ruta_cobro nom_ruta from (select *, row_number() over (partition by {key}
  order by num_factura, id_ruta_cobro) rn from ({INVOICE_SQL}) y) i left join {{coords}} k on k.id_barrio = i.id_barrio
  where i.rn = 1"""
 
@@ -175,6 +176,9 @@ def breaks_sql(table: str, value: str, probs: tuple[float, ...]) -> str:
     return text.replace("{probs}", ", ".join(f"{p:.2f}::double" for p in probs))
 
 
+#: Values below 1 as the root of their share of the largest; others as they are.
+POWER_SQL = "case when (select max({v}) from {table}) < 1 then pow({v} / (select max({v}) from {table}), 0.3) else {v} end"
+
 DBSCAN_EVENTS = f"select e.* from ({SAMPLES_SQL}) e where e.barrio is not null"
 DBSCAN_SQL = f"""with recursive s as materialized ({DBSCAN_EVENTS}),
  nb as materialized (select a.idEvento p, b.idEvento q, a.barrio from s a join s b on a.barrio = b.barrio and
@@ -258,10 +262,58 @@ def _written(t: Tables) -> DataFrame:
     return t.spark.read.parquet(sinks.write_layer(layer, _place(t, "layer"), "parquet", "overwrite"))
 
 
+ROUND_POINT = "round(latitud, 6) latitud, round(longitud, 6) longitud"
+
+
+def _contact_places(t: Tables) -> DataFrame:
+    places = t.contactos.select("id_barrio").join(t.coords, "id_barrio")
+    return places.select("id_barrio", "barrio", "latitud", "longitud", "ruta_cobro", "nom_ruta")
+
+
+def _menus(t: Tables) -> DataFrame:
+    """The pick lists, written as the three files of a city and read back as one table."""
+    folder, places = _place(t, "menus"), _contact_places(t)
+    for (name, column), source in zip(readers.MENUS.items(), ("nom_ruta", "ruta_cobro", "barrio"), strict=True):
+        metrics.menu(places, source).toDF(column).write.csv(f"{folder}/{name}.csv", header=True)
+    found = readers.read_menus(t.spark, folder)
+    return conform.stack([df.select(F.lit(name).alias("menu"), F.col(df.columns[0]).alias("value")) for name, df in found.items()])
+
+
+def _collection(t: Tables, features: DataFrame, name: str) -> str:
+    """A FeatureCollection of a column ``f``, one file."""
+    whole = features.agg(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))
+    whole.select(F.to_json(F.struct("type", "features"))).coalesce(1).write.text(path := _place(t, name))
+    return path
+
+
+def _features(t: Tables) -> DataFrame:
+    """The box of each neighbourhood's samples as a polygon, written as GeoJSON and read back."""
+    box = _samples(t).groupBy("barrio").agg(*[of(c).alias(f"{of.__name__}_{c}") for of in (F.min, F.max) for c in (LAT, LON)])
+    corner = lambda lon, lat: F.array(f"{lon}_{LON}", f"{lat}_{LAT}")
+    ring = F.array(corner("min", "min"), corner("max", "min"), corner("max", "max"), corner("min", "max"), corner("min", "min"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    f = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("barrio").alias("NOMBRE")).alias("properties"), geometry.alias("geometry"))
+    found = readers.read_features(t.spark, _collection(t, box.select(f.alias("f")), "features"))
+    return found.select("name", F.col("position").alias("ring_position"), "latitud", "longitud")
+
+
+def _zones(t: Tables) -> DataFrame:
+    """Route zones with their neighbourhoods' names, written as GeoJSON and read back."""
+    zones = _contact_places(t).where("nom_ruta is not null").groupBy("nom_ruta").agg(F.collect_set("barrio").alias("barrios"))
+    f = F.struct(F.struct(F.col("nom_ruta").alias("nombre"), "barrios").alias("properties"))
+    return readers.route_zone_barrios(t.spark, _collection(t, zones.select(f.alias("f")), "zones"))
+
+
 # --- sources, sinks, projections ------------------------------------------------------------------------------------
 
-query("src_coords", "select * replace (round(latitud, 6) as latitud, round(longitud, 6) as longitud) from {coords}",
-      lambda t: readers.read_coords(t.spark, _csv(t, t.coords, "coords")))
+query("src_coords", f"select id_barrio, barrio, {ROUND_POINT}, ruta_cobro, nom_ruta from {{contactos}} n join {{coords}} k using (id_barrio)",
+      lambda t: readers.read_coords(t.spark, _csv(t, _contact_places(t), "coords")))
+query("src_menus", " union all ".join(f"select distinct '{menu}' menu, {column} as value from {{contactos}} n join {{coords}} k using (id_barrio) where {column} is not null"
+      for menu, column in (("rutas_logistica", "nom_ruta"), ("rutas_cobro", "ruta_cobro"), ("barrios", "barrio"))), _menus)
+query("src_features", f"select n.barrio name, v.i ring_position, round(case when v.i in (0, 1, 4) then la0 else la1 end, 6) latitud, "
+      f"round(case when v.i in (0, 3, 4) then lo0 else lo1 end, 6) longitud from (select barrio, min({LAT}) la0, max({LAT}) la1, min({LON}) lo0, max({LON}) lo1 "
+      f"from ({SAMPLES_SQL}) s group by barrio) n, (select cast(unnest(range(5)) as int) i) v", _features)
+query("src_route_zones", "select distinct k.barrio, k.nom_ruta ruta from {contactos} n join {coords} k using (id_barrio) where k.nom_ruta is not null", _zones)
 query("src_density", "select barrio, round(latitud, 6) latitud, round(longitud, 6) longitud, round(cobertura, 6) cobertura, "
       "round(contactabilidad, 6) contactabilidad, round(efectividad, 6) efectividad from {densidades}",
       lambda t: readers.read_density(t.spark, _csv(t, t.densidades, "density")))
@@ -371,14 +423,15 @@ query("kpi_growth", f"""select cast(sum(cantidad) as bigint) total, round(avg(ca
 query("kpi_density", "select count(distinct barrio) barrios, round(avg(cobertura), 6) promedio from {densidades}", lambda t: metrics.density_kpis(t.densidades, "cobertura"))
 query("quantile_breaks", breaks_sql("lineitem", "l_extendedprice", metrics.BREAKS), lambda t: metrics.breaks(t.lineitem, "l_extendedprice"))
 query("quantile_breaks_density", breaks_sql("densidades", "contactabilidad", metrics.BREAKS), lambda t: metrics.breaks(t.densidades, "contactabilidad"))
-query("quantile_cuts", breaks_sql("densidades", "pow(efectividad, 0.3)", metrics.CUTS), lambda t: metrics.breaks(t.densidades, "efectividad", metrics.CUTS, power=0.3))
+query("quantile_cuts", breaks_sql("lineitem", POWER_SQL.format(v="l_discount", table="{lineitem}"), metrics.CUTS), lambda t: metrics.cuts(t.lineitem, "l_discount"))
+query("quantile_cuts_raw", breaks_sql("lineitem", POWER_SQL.format(v="l_quantity", table="{lineitem}"), metrics.CUTS), lambda t: metrics.cuts(t.lineitem, "l_quantity"))
 query("minmax_scale", "select l_orderkey, l_linenumber, round((l_quantity - min(l_quantity) over ()) / nullif(max(l_quantity) over () - min(l_quantity) over (), 0), 6) peso from {lineitem}",
       lambda t: metrics.scale(t.lineitem, "l_quantity").select("l_orderkey", "l_linenumber", "peso"))
 query("power_scale", "select l_orderkey, l_linenumber, round(case when max(l_discount) over () < 1 then pow(l_discount / nullif(max(l_discount) over (), 0), 0.3) else l_discount end, 6) peso from {lineitem}",
       lambda t: metrics.scale(t.lineitem, "l_discount", "power").select("l_orderkey", "l_linenumber", "peso"))
 query("agg_center_median", f"select round(median({LAT}), 6) latitud, round(median({LON}), 6) longitud from ({SAMPLES_SQL}) s", lambda t: metrics.center(_samples(t), LAT, LON))
 query("distinct_agents", f"select distinct id_autor from ({VISITS_SQL}) v where id_autor is not null", lambda t: metrics.agents(_visits(t)))
-query("distinct_menu", "select distinct nom_ruta as value from {coords} where nom_ruta is not null", lambda t: metrics.menu(t.coords, "nom_ruta"))
+query("distinct_menu", "select distinct k.nom_ruta as value from {pedidos} p join {coords} k on k.id_barrio = p.id_barrio where k.nom_ruta is not null", lambda t: metrics.menu(_placed(t), "nom_ruta"))
 query("dedupe_order", "select id, id_contacto from (select *, row_number() over (partition by id order by fecha_hora_pedido, id_contacto) rn from (select * from {pedidos} union all select * from {pedidos} where id % 2 = 0) u) r where rn = 1",
       lambda t: conform.first_per(conform.stack([t.pedidos, t.pedidos.where("id % 2 = 0")]), "id", ["fecha_hora_pedido", "id_contacto"]).select("id", "id_contacto"))
 query("dedupe_contact", f"select id_contacto, num_factura, id_ruta_cobro, valor_mora from (select *, row_number() over (partition by id_contacto order by num_factura, id_ruta_cobro) rn from ({INVOICE_SQL}) y) z where rn = 1",
@@ -403,8 +456,8 @@ query("concat_groups", "select idEvento, tipo_evento from {eventos} where tipo_e
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
 
-query("norm_city", "select id, ciudad normal from {ciudades}",
-      lambda t: t.ciudades.select("id", normalise_city(F.translate(F.lower("ciudad"), "aeiou", "áéíóú")).alias("normal")))
+query("norm_city", "select p.id, c.ciudad normal from {pedidos} p left join {barrios} b on b.id = p.id_barrio left join {ciudades} c on c.id = b.id_ciudad",
+      lambda t: joins.orders_with_dims(t.pedidos, t.barrios, t.ciudades).select("id", normalise_city(F.translate(F.lower("ciudad"), "aeiou", "áéíóú")).alias("normal")))
 query("date_of", "select idEvento, cast(fecha_evento as date) fecha from {eventos}", lambda t: t.eventos.select("idEvento", F.to_date("fecha_evento").alias("fecha")))
 query("day_span", "select id, cast(cast(fecha_hora_entrega as date) - fecha_pedido + 1 as int) dias from {pedidos}",
       lambda t: t.pedidos.select("id", day_span(F.col("fecha_pedido"), F.to_date("fecha_hora_entrega")).alias("dias")))
@@ -420,9 +473,6 @@ query("zoom_radius", "select idEvento, case when z <= 11 then 120 when z <= 12 t
 
 # --- layers ---------------------------------------------------------------------------------------------------------
 
-ROUND_POINT = "round(latitud, 6) latitud, round(longitud, 6) longitud"
-
-
 def layer_sql(sql: str, rest: str) -> str:
     return f"select {ROUND_POINT}, {rest} from ({sql}) x"
 
@@ -478,12 +528,23 @@ _parts("visits_map", {"markers": layer_sql(VISIT_POINTS, "barrio, cantidad"), "h
 _parts("visits_map", {"events": EVENT_LAYER_SQL.replace("{base}", VISITS_SQL)}, lambda t: maps.visits_map(t, EVENTS, grouped=False))
 _parts("samples_map", {"events": EVENT_LAYER_SQL.replace("{base}", SAMPLES_SQL), "kpi": kpi_sql(SAMPLES_SQL, EVENTS, False)}, lambda t: maps.samples_map(t, EVENTS))
 _parts("debt_map", {"markers": layer_sql(markers_sql(DEBT_POINTS, "valor_mora", "decimal(38,2)"), MARKERS), "heat": layer_sql(heat_sql(DEBT_POINTS, "valor_mora"), "peso"), "clusters": cluster_sql(DEBT_POINTS, "valor_mora", "nom_ruta", SUM_DEBT, 2000, 12, 14), "kpi": KPI_DEBT_SQL}, lambda t: maps.debt_map(t, DEBTS))
+# The same with a route or neighbourhoods picked: orders and their statistics by logistic route, visits and debts by collection route.
+ROUTED = {"orders": "RL_3", "visits": "RC_1", "debts": "RC_2"}
+PICKED = ("NATION_3", "NATION_8", "BRAZIL", "CANADA", "PERU")
+ROUTE_POINTS = points_sql(f"{ORDERS_SQL} and k.nom_ruta = '{ROUTED['orders']}'")
+_parts("orders_map_route", {"markers": layer_sql(markers_sql(ROUTE_POINTS, "cantidad", "bigint"), MARKERS), "kpi": kpi_sql(f"{ORDERS_SQL} and k.nom_ruta = '{ROUTED['orders']}'", ORDERS, True)}, lambda t: maps.orders_map(t, replace(ORDERS, route=ROUTED["orders"])))
+ROUTE_VISITS = f"{VISITS_SQL} and k.ruta_cobro = '{ROUTED['visits']}'"
+_parts("visits_map_route", {"markers": layer_sql(points_sql(ROUTE_VISITS, "latitud, longitud, barrio"), "barrio, cantidad"), "kpi": kpi_sql(ROUTE_VISITS, EVENTS, False)}, lambda t: maps.visits_map(t, replace(EVENTS, route=ROUTED["visits"])))
+PICKED_SAMPLES = f"{SAMPLES_SQL} and b.barrio in {PICKED}"
+_parts("samples_map_barrios", {"events": EVENT_LAYER_SQL.replace("{base}", PICKED_SAMPLES), "kpi": kpi_sql(PICKED_SAMPLES, EVENTS, False)}, lambda t: maps.samples_map(t, replace(EVENTS, barrios=PICKED)))
+ROUTE_DEBTS = f"{DEBT_SQL} and k.ruta_cobro = '{ROUTED['debts']}'"
+_parts("debt_map_route", {"markers": layer_sql(markers_sql(points_sql(ROUTE_DEBTS, value="cast(sum(valor_mora) as decimal(38,2)) valor_mora"), "valor_mora", "decimal(38,2)"), MARKERS), "kpi": KPI_DEBT_SQL.replace(DEBT_SQL, ROUTE_DEBTS)}, lambda t: maps.debt_map(t, replace(DEBTS, route=ROUTED["debts"])))
 for _name, _v in (("coverage_map", "cobertura"), ("contactability_map", "contactabilidad"), ("effectiveness_map", "efectividad")):
     _parts(_name, {
         "points": f"select {ROUND_POINT}, barrio, round({_v}, 6) valor from {{densidades}} where latitud is not null and longitud is not null",
         "heat": layer_sql(DENSITY_HEAT["power" if _v == "cobertura" else "minmax"].format(v=_v), "peso"),
         "clusters": cluster_sql("select * from {densidades}", _v, "''", AVG_SEEN, 80, None, 15),
-        "breaks": breaks_sql("densidades", _v, metrics.BREAKS),
+        "breaks": breaks_sql("densidades", POWER_SQL.format(v=_v, table="{densidades}") if _v == "cobertura" else _v, metrics.CUTS if _v == "cobertura" else metrics.BREAKS),
         "kpi": f"select count(distinct barrio) barrios, round(avg({_v}), 6) promedio from {{densidades}}",
     }, lambda t, v=_v: maps.density_map(t, v))
 
@@ -495,3 +556,5 @@ def _stats_twins(base: str, ts: str, least: int) -> dict[str, str]:
 _parts("stats_orders", _stats_twins(ORDERS_SQL, "fecha_pedido", 1) | {"rutas": frequency_sql(ORDERS_SQL, "nom_ruta", "'EMPLEADOS', 'TRANSPORTADORA'")}, lambda t: maps.stats_orders(t, ORDERS, 1))
 _parts("stats_samples", _stats_twins(SAMPLES_SQL, "fecha_evento", 15), lambda t: maps.stats_samples(t, EVENTS))
 _parts("stats_visits", _stats_twins(VISITS_SQL, "fecha_evento", 15) | {"tipos": frequency_sql(VISITS_SQL, "tipo_evento"), "rutas": frequency_sql(VISITS_SQL, "nom_ruta")}, lambda t: maps.stats_visits(t, EVENTS))
+_parts("stats_orders_route", _stats_twins(f"{ORDERS_SQL} and k.nom_ruta = '{ROUTED['orders']}'", "fecha_pedido", 1), lambda t: maps.stats_orders(t, replace(ORDERS, route=ROUTED["orders"]), 1))
+_parts("stats_visits_route", _stats_twins(ROUTE_VISITS, "fecha_evento", 15) | {"tipos": frequency_sql(ROUTE_VISITS, "tipo_evento")}, lambda t: maps.stats_visits(t, replace(EVENTS, route=ROUTED["visits"])))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldscope.functions.scalar import bearing_class, normalise_city, zoom_radius
-from fieldscope.operators import conform, filters, joins, layers, metrics, spatial, trends
+from fieldscope.operators import conform, filters, joins, layers, metrics, ordering, spatial, trends
 from fieldscope.operators.components import connected_components
 from fieldscope.operators.ordering import quantile_bounds, range_bucket
 from fieldscope.sources import readers, sinks
@@ -99,8 +99,22 @@ def test_breaks_are_linear_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     got = [r["valor"] for r in metrics.breaks(df, "v").orderBy("prob").collect()]
     assert np.allclose(got, np.quantile(v, metrics.BREAKS))
-    rough = [r["valor"] for r in metrics.breaks(df, "v", exact=False).orderBy("prob").collect()]
-    assert np.allclose(rough, got, atol=0.2)
+    narrowed = ordering.exact_quantiles(df, "v", metrics.BREAKS, most=5, error=0.05)
+    assert np.allclose(narrowed, got)
+    ties = spark.createDataFrame([(1.0,)] * 50 + [(2.0,), (float("nan"),), (None,)], "v double")
+    assert ordering.exact_quantiles(ties, "v", [0.5, 1.0], most=5) == [1.0, 2.0]
+    assert ordering.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_segments_in_many_ranges(spark):
+    rows = [(g, i, i * 0.5, -i * 0.25) for i in range(200) for g in [("a", "b", None)[i % 3]] if g != "b" or i > 150]
+    df = spark.createDataFrame(rows, "g string, id long, lat double, lon double")
+    got = spatial.segments(df, "g", "id", "lat", "lon", rows_per_range=7).collect()
+    for g in ("a", "b", None):
+        ids = sorted(r[1] for r in rows if r[0] == g)
+        of = sorted((r for r in got if r["g"] == g), key=lambda r: r["id"])
+        assert [(r["id"], r["orden"]) for r in of] == [(i, n + 1) for n, i in enumerate(ids)]
+        assert [r["lat_sig"] for r in of] == [i * 0.5 for i in ids[1:]] + [None]
 
 
 def test_power_scale_only_below_one(spark):
@@ -307,6 +321,7 @@ def test_entry_without_the_corpus_package(tmp_path):
     top = Path(__file__).resolve().parent.parent
     shutil.copytree(top / "fieldscope", tmp_path / "fieldscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
+    (tmp_path / "fieldscope/llm/__pycache__").mkdir(parents=True, exist_ok=True)  # what a deleted package may leave
     code = "import __spark_entry__ as e; print(len(e.queries()), any(k[:2] == 'op' or k == 'pipeline' for k in e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(said[0]) > 100 and said[1] == "False"
