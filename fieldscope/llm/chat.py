@@ -15,9 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.llm.keys import carried, restored
+
 #: This template's markers, and control strings of common chat models that texts may carry.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROLS = (
@@ -31,7 +34,7 @@ _MARKS = re.compile("|".join(map(re.escape, (TURN, BODY, END))))
 AT_ONCE = 128
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = (
-    "conv_id long, formatted string, n_turns long, n_tokens long, loss_tokens long, "
+    "k long, none boolean, formatted string, n_turns long, n_tokens long, loss_tokens long, "
     "loss_starts array<long>, loss_ends array<long>"
 )
 
@@ -110,40 +113,46 @@ def format_conversations(
     """One row per conversation: its formatted text, token counts and the spans under the loss mask.
 
     rows: conv_id, turn, role, text, a row per turn. Null role or text: empty; turns sort by turn (null
-    first), then role and text, repeated rows stay; a null conv_id is a conversation of its own. Other
-    columns are ignored; an empty table gives an empty result. The turns of a conversation are one record
-    and meet in one row; nothing else is gathered. ``learn`` names the roles whose texts carry loss.
+    first), then role and text, repeated rows stay. A turn with a null conv_id is a conversation of its own.
+    Other columns are ignored; an empty table gives an empty result. The turns of a conversation are one record
+    and meet in one row; nothing else is gathered. ``learn`` names the roles whose texts carry loss. The
+    tokenizer's file lies with the driver and is sent to the workers.
     """
+    rows.sparkSession.sparkContext.addFile(tokenizer_path)
+    tokenizer_file = os.path.basename(tokenizer_path)
     empty = F.lit("")
     turn = F.struct(
         F.col("turn").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = whole.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
+    whole = whole.select(*carried("conv_id"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = _tokenizer(SparkFiles.get(tokenizer_file))
         for batch in (b.iloc[i : i + AT_ONCE] for b in batches for i in range(0, len(b), AT_ONCE)):
             rendered = [render(list(zip(r, t, strict=True))) for r, t in zip(batch.roles, batch.texts, strict=True)]
             encoded = tokenizer.encode_batch([r[0] for r in rendered], add_special_tokens=False)
             out = []
-            for conv, (text, starts, ends, roles), tokens in zip(batch.conv_id, rendered, encoded, strict=True):
+            for k, none, (text, starts, ends, roles), tokens in zip(batch.k, batch.none, rendered, encoded, strict=True):
                 wanted = np.array([r in learn for r in roles], dtype=bool)
                 offsets = np.array(tokens.offsets, dtype=np.int64).reshape(-1, 2)
                 s, e, n = loss_spans(starts[wanted], ends[wanted], offsets)
-                out.append((conv, text, len(roles), len(offsets), n, s.tolist(), e.tolist()))
-            names = ["conv_id", "formatted", "n_turns", "n_tokens", "loss_tokens", "loss_starts", "loss_ends"]
-            frame = pd.DataFrame(out, columns=names)
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+                out.append((k, none, text, len(roles), len(offsets), n, s.tolist(), e.tolist()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return whole.mapInPandas(formatted, SCHEMA)
+    out = whole.mapInPandas(formatted, SCHEMA)
+    return out.select(restored("conv_id"), *[c for c in out.columns if c not in ("k", "none")])
 
 
 def digest_formatted(formatted: DataFrame) -> DataFrame:
-    """Digests read back from formatted conversations: turns by parsing, loss text through the mask."""
+    """Digests read back from formatted conversations: turns by parsing, loss text through the mask.
+
+    One row per conversation; null ids stay null; a conversation without text has the digest of an empty one;
+    an empty table gives an empty result.
+    """
     schema = (
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+        "k long, none boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
         "formatted_chars long, n_tokens long, loss_tokens long"
     )
 
@@ -155,14 +164,14 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
                 all_turns = "".join(f"{role}\n{text}\n" for role, text in turns)
                 loss = "".join(_masked(row.formatted, row.loss_starts, row.loss_ends))
                 out.append((
-                    row.conv_id, len(turns), _sha(all_turns), len(loss), _sha(loss), len(row.formatted),
+                    row.k, row.none, len(turns), _sha(all_turns), len(loss), _sha(loss), len(row.formatted),
                     row.n_tokens, row.loss_tokens,
                 ))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return formatted.mapInPandas(digests, schema)
+    read = formatted.select(*carried("conv_id"), "formatted", "n_tokens", "loss_tokens", "loss_starts", "loss_ends")
+    out = read.mapInPandas(digests, schema)
+    return out.select(restored("conv_id"), *[c for c in out.columns if c not in ("k", "none")])
 
 
 def _masked(formatted: str, starts, ends) -> Iterator[str]:
@@ -191,9 +200,10 @@ def _sql_pattern() -> str:
 #: The digests of all conversations and conversation -1 in DuckDB; an escape adds one code point per control string.
 DIGEST_SQL = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL
 ), sized AS (
   SELECT *, length(role) + length(text) + {len(TURN + BODY + END)}
     + len(regexp_extract_all(role, '{_sql_pattern()}')) + len(regexp_extract_all(text, '{_sql_pattern()}')) AS chars
@@ -204,5 +214,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, lone
 """

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.durable import cut
+from fieldscope.llm.keys import carried, restored, text_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -82,7 +83,7 @@ def _block_flight(columns: list[str], round_: int):
     """Grouped-map function of one block: flight, and landing where the block is its source's only one."""
 
     def fly(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "size", "chance"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["none", "k", "row", "nth", "size"], kind="stable").reset_index(drop=True)
         name = f"{group['source'].iloc[0]}/{group['block'].iloc[0]}/{round_}"
         size = group["size"].to_numpy()
         p = flight(size, group["chance"].to_numpy(), zlib.crc32(name.encode("utf-8", "surrogatepass")))
@@ -120,22 +121,21 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "documents", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source_size, target, taken, copies) for every row: how often and how many words are taken.
+def _mixed(docs: DataFrame, key: str, text: str, source: str, row: Column) -> DataFrame:
+    """``mix`` with k, none and row in place of the key: row tells the rows of one key apart.
 
-    size counts runs of ``[^\\x20\\x09-\\x0D]``; null and blank texts have none and are still counted as
-    documents. A null source is a source. Blocks and draws depend on key, size and source only, so reruns
-    agree; rows of one key and size are interchangeable. Other columns are ignored; an empty table gives an
-    empty result. The largest document of a source bounds how far its words may lie from the target.
+    Rows alike in all these are counted, then numbered by ``nth``, so that a great many of them are dealt to
+    blocks like any others.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = cut(rows)
+    rows = docs.select(*carried(key), row.alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = cut(rows.groupBy("k", "none", "row", "source", "size").agg(F.count("*").alias("n")))
+    rows = rows.select("k", "none", "row", "source", "size", F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
     targets = cut(source_targets(rows))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(F.lit(0.0))
     base = F.floor(rate + _EPS).cast("int")
     units = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     units = units.select(
-        "key", "source", "size", "source_size", "target", "documents", rate.alias("rate"), base.alias("base")
+        "k", "none", "row", "nth", "source", "size", "source_size", "target", "documents", rate.alias("rate"), base.alias("base")
     )
     chance = F.greatest(F.col("rate") - F.col("base"), F.lit(0.0))
     units = units.withColumn("chance", F.when(chance < _EPS, 0.0).otherwise(chance)).drop("rate")
@@ -146,8 +146,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     while True:
         blocks = F.greatest(F.ceil(F.col("documents") / (BLOCK * (BLOCK // 2) ** round_)), F.lit(1)).cast("long")
         last = most <= BLOCK * (BLOCK // 2) ** round_
-        block = F.pmod(F.xxhash64("key", "size", F.lit(round_)), blocks)
-
+        block = F.pmod(F.xxhash64("k", "none", "row", "nth", "size", F.lit(round_)), blocks)
         flown = units.withColumns({"blocks": blocks, "block": block}).groupBy("source", "block").applyInPandas(_block_flight(columns, round_), schema)
         flown = cut(flown)
         if last:
@@ -160,26 +159,37 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             break
         round_ += 1
     copies = (F.col("base") + F.col("chance").cast("int")).alias("copies")
-    return decided.select("key", "source", "size", "source_size", "target", copies).select(
-        F.col("key").alias(key),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.col("copies")).cast("long").alias("taken"),
-        "copies",
-        "source",
+    return decided.select("k", "none", "row", "source", "size", "source_size", "target", copies)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, size, source_size, target, taken, copies, source) for every row: how often and how many words are taken.
+
+    size counts runs of ``[^\\x20\\x09-\\x0D]``; null and blank texts have none and are still counted as
+    documents. A null source is a source. Blocks and draws depend on key, text, size and source only, so reruns
+    agree; rows alike in these are interchangeable. Null and repeated keys stay rows of their own. Other columns
+    are ignored; an empty table gives an empty result. The largest document of a source bounds how far its
+    words may lie from the target.
+    """
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return _mixed(docs, key, text, source, text_id(text)).select(
+        restored(key), "size", "source_size", "target", taken, "copies", "source"
     )
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed rows: each row of ``docs`` as often as it is taken, columns as they are."""
-    picks = mix(docs, key, text, source)
-    name = F.xxhash64(F.col(key).cast("long"), F.col(source))
-    picks = picks.groupBy(F.xxhash64(F.col(key), F.col("source")).alias("_name")).agg(
-        F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_picks")
-    )
-    nth = F.row_number().over(Window.partitionBy("_name").orderBy("_size", F.xxhash64(F.col(text))))
-    rows = docs.withColumn("_name", name).withColumn("_size", word_count(F.col(text))).withColumn("_nth", nth)
-    rows = rows.join(picks, "_name").withColumn("_copies", F.element_at("_picks", F.col("_nth"))["copies"])
-    rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """The mixed rows: each row of ``docs`` as often as it is taken, columns as they are.
+
+    Rows are told apart by key and a hash of all their columns; rows alike in every column come once each to
+    the mix and their copies are added up. Null and empty texts have no words but may be taken; an empty table
+    gives an empty result.
+    """
+    whole = F.xxhash64(*docs.columns)
+    picks = _mixed(docs, key, text, source, whole).groupBy("k", "none", "row").agg(F.sum("copies").alias("_copies"))
+    picks = picks.select(*[F.col(c).alias(f"_mix_{c}") for c in ("k", "none", "row")], "_copies").where("_copies > 0")
+    k, none = carried(key)
+    own = ["_own_k", "_own_none", "_own_row"]
+    rows = docs.select("*", k.alias(own[0]), none.alias(own[1]), whole.alias(own[2])).dropDuplicates(own)
+    rows = rows.join(picks, [F.col(o) == F.col(o.replace("_own_", "_mix_")) for o in own])
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return rows.select(*docs.columns)

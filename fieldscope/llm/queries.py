@@ -36,7 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_units(_read(spark, sf_dir, "documents"))
+    return substring.repeated_units(_read(spark, sf_dir, "documents")).drop("text_id")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

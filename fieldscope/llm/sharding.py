@@ -38,13 +38,14 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(shards: int):
-    """A column function: long key -> shard; null keys share the shard of key 0."""
+    """A function of a long column's name: the shard; null keys share the shard of key 0."""
 
     @F.pandas_udf("int")
     def assign(key: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(mix64(key.fillna(0).to_numpy(dtype=np.int64)), shards))
+        return pd.Series(jump_hash(mix64(key.to_numpy(dtype=np.int64)), shards))
 
-    return assign
+    # Filled before the batch reaches pandas, where a null would turn its neighbours into floats.
+    return lambda key: assign(F.coalesce(F.col(key), F.lit(0)))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.durable import cut
+from fieldscope.durable import cut, stored
 from fieldscope.llm import substring
+from fieldscope.llm.keys import carried, restored, text_id
 from fieldscope.operators.components import connected_components
 
-#: Most differing bits of a link; segments of two bits have counts 0..2, dealt to BANDS bands of the grid.
-MAX_BITS, BANDS = 3, 6
+#: Most differing bits of a link; segments of two bits have counts 0..2, dealt to bands of the grid.
+MAX_BITS = 3
+#: Bands for up to so many distinct fingerprints: more bands make narrower cells (24, 27 and 30 bits), and more
+#: of them a fingerprint (20, 35 and 56). The links are the same.
+BANDS = ((1 << 22, 6), (1 << 25, 7), (1 << 62, 8))
 #: Most fingerprints of a cell that one comparison block holds; larger cells are split in pairs of blocks.
 BLOCK = 2048
 _CHUNK = 1 << 16
@@ -46,15 +50,15 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint of every row as a signed long."""
+    """(k, none, row, fp): the fingerprint of every row as a signed long; row: ``text_id``."""
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": batch["k"].astype("Int64"), "fp": found})
+            yield batch.drop(columns="t").assign(fp=found)
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(per_batch, "k long, fp long").withColumnRenamed("k", key)
+    rows = docs.select(*carried(key), text_id(text).alias("row"), F.col(text).alias("t"))
+    return rows.mapInPandas(per_batch, "k long, none boolean, row long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -65,10 +69,10 @@ def segment_counts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _grid_masks() -> list[int]:
-    """For each way to keep BANDS - MAX_BITS bands: the bits of those bands. Segments are dealt in turn."""
-    bands = [sum(3 << (2 * s) for s in range(b, 32, BANDS)) for b in range(BANDS)]
-    kept = [sum(c) for c in combinations(bands, BANDS - MAX_BITS)]
+def _grid_masks(n_bands: int) -> list[int]:
+    """For each way to keep n_bands - MAX_BITS bands: the bits of those bands. Segments are dealt in turn."""
+    bands = [sum(3 << (2 * s) for s in range(b, 32, n_bands)) for b in range(n_bands)]
+    kept = [sum(c) for c in combinations(bands, n_bands - MAX_BITS)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in kept]
 
 
@@ -126,17 +130,21 @@ def links_in_cells(fp: np.ndarray, counts: np.ndarray, starts: np.ndarray, ends:
     return labels
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def near_links(distinct: DataFrame, n_bands: int | None = None) -> DataFrame:
     """(a, b) pairs of fingerprints that connect all those within MAX_BITS bits (a forest per grid cell).
 
     distinct: a column fp without repeats. Two fingerprints within MAX_BITS bits have count vectors within
-    that Manhattan distance, so at least BANDS - MAX_BITS bands of the grid agree: cells are keyed by the
-    counts of each such set of bands. Cells of one row are dropped after counting; cells of over BLOCK rows
+    that Manhattan distance, so all but MAX_BITS bands of the grid agree: cells are keyed by the counts of each
+    such set of bands. Cells of one row are dropped after counting; cells of over BLOCK rows
     are compared as pairs of blocks in different tasks. A cell's pairs are never listed across tasks.
     """
+    if n_bands is None:
+        n = distinct.count()
+        n_bands = next(b for most, b in BANDS if n <= most)
     counts = segment_counts(F.col("fp"))
-    cells = F.array(*[F.xxhash64(F.lit(i), counts.bitwiseAND(F.lit(m))) for i, m in enumerate(_grid_masks())])
-    rows = distinct.select("fp", counts.alias("counts"), F.explode(cells).alias("cell"))
+    cells = F.array(*[F.xxhash64(F.lit(i), counts.bitwiseAND(F.lit(m))) for i, m in enumerate(_grid_masks(n_bands))])
+    # Dealt out before each row becomes many.
+    rows = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", counts.alias("counts"), F.explode(cells).alias("cell"))
     crowded = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -176,11 +184,10 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b) pairs of fingerprints of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Such texts can be many bits apart: they meet in MinHash bands and are verified on the shingles. Rows with
-    a null key take no part.
+    Such texts can be many bits apart: they meet in MinHash bands and are verified on the shingles. Texts
+    without a word take no part.
     """
-    docs = docs.where(F.col(key).isNotNull()).select(key, text)
-    texts = cut(substring.whole_texts(docs, key, text, fingerprint))
+    texts = stored(substring.whole_texts(docs, key, text, fingerprint))
     links = substring.near_classes(texts, docs, key, text, substring.whole_of)
     own = texts.groupBy("class").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"))
     a, b = own.select(F.col("class").alias("a"), F.col("fp").alias("fa")), own.select(F.col("class").alias("b"), F.col("fp").alias("fb"))
@@ -188,6 +195,17 @@ def similar_links(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cut(between.union(own.where("fp <> other").select("fp", "other")).toDF("a", "b").distinct())
 
 
+def _rooted(docs: DataFrame, key: str, text: str, similar: bool) -> tuple[DataFrame, DataFrame]:
+    """(k, none, row, fp) of every row, and (fp, root) of every fingerprint."""
+    prints = cut(fingerprints(docs, key, text))
+    distinct = cut(prints.select("fp").distinct())
+    links = near_links(distinct)
+    if similar:
+        links = links.union(similar_links(docs, key, text))
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+    return prints, cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """(key, fingerprint, component_id) for every row: the smallest key reachable over links.
 
@@ -197,32 +215,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     the end, so groups of copies cost one row. Null keys are kept; a component of null keys only has a null
     id. Repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, key, text))
-    smallest = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    links = near_links(smallest.select("fp"))
-    if similar:
-        links = links.union(similar_links(docs, key, text))
-    found = connected_components(links, "a", "b")
-    rooted = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
-    rooted = cut(rooted)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    prints, rooted = _rooted(docs, key, text, similar)
+    smallest = prints.groupBy("fp").agg(F.min(restored(key)).alias("least"))
+    ids = smallest.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        restored(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the smallest key (one of those, if it repeats).
-
-    Groups link texts within MAX_BITS bits or of similarity 0.8 in five-word shingles.
+    """The rows of ``docs`` that stay: of each group the one with the smallest key, null last.
 
-    Rows with a null key cannot be told apart and all stay. Columns stay as they are.
+    Groups link texts within MAX_BITS bits or of similarity 0.8 in five-word shingles; null, empty and blank
+    texts are one group. Rows are told apart by key and text: of several texts with one key, each belongs to
+    its own group; of rows alike in both, one stays, whichever. So do copies with null keys. Columns stay as
+    they are; an empty table gives an empty result.
     """
-    groups = near_duplicates(docs, key, text, similar=True).select(F.col("component_id").alias("_kept_key")).distinct()
-    rows = docs.join(groups, F.col(key) == F.col("_kept_key"), "left_semi")
-    if rows.groupBy(key).count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([key])
-    return rows.unionByName(docs.where(F.col(key).isNull()))
+    prints, rooted = _rooted(docs, key, text, similar=True)
+    least = prints.groupBy("fp").agg(F.min(F.struct("none", "k", "row")).alias("at"))
+    kept = least.join(rooted, "fp").groupBy("root").agg(F.min("at").alias("at"))
+    kept = kept.select(*[F.col(f"at.{c}").alias(f"_kept_{c}") for c in ("k", "none", "row")])
+    k, none = carried(key)
+    own = ["_own_k", "_own_none", "_own_row"]
+    rows = docs.select("*", k.alias(own[0]), none.alias(own[1]), text_id(text).alias(own[2])).dropDuplicates(own)
+    rows = rows.join(kept, [F.col(o) == F.col(o.replace("_own_", "_kept_")) for o in own], "left_semi")
+    return rows.select(*docs.columns)

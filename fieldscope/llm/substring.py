@@ -1,58 +1,65 @@
-"""Substring dedup: repeated paragraphs found by MinHash banding, verified by exact Jaccard, clustered.
+"""Substring dedup: repeated paragraphs found by MinHash banding, verified exactly, clustered by components.
 
-A unit is a line of at least MIN_WORDS words. Equal lines are one class; classes of lines whose MinHash bands
-collide are near if the Jaccard similarity of their word shingles is at least THRESHOLD.
+Paragraphs are cut in two ways, both over whole texts:
 
-Besides, every text is one stream of words whatever its lines: of each WINDOW neighbouring runs of GRAM words
-the one with the smallest hash is picked. Equal passages of GRAM + WINDOW - 1 = 50 words or more have a picked
-run in common, wherever they stand. Picked runs that repeat are pieces; neighbours with the same first
-occurrence become one.
+* lines of at least LEAST words. BANDS bands of ROWS min-hashes of their five-word shingles; classes of lines
+  that collide are near if their exact Jaccard similarity is at least THRESHOLD; components cluster them.
+* every stretch of GRAM + WINDOW - 1 = LEAST words, whatever the lines. Its shingles of GRAM words have one
+  band of one min-hash, so that equal stretches always collide (neighbours mostly share their min-hash, which
+  keeps about two in WINDOW). Collisions are verified word by word: each kept shingle carries REACH words on
+  either side, two bits a word. Neighbouring collisions at one shift join if at most CHANGED words between them
+  differ; a run of LEAST words of which THRESHOLD are equal is a repeated passage.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.durable import cut
+from fieldscope.durable import cut, stored
+from fieldscope.llm.keys import carried, restored, text_id
 from fieldscope.operators.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 10 bands of 3 values: a pair at Jaccard 0.8 collides in some band with probability 0.9992.
 BANDS, ROWS = 10, 3
-MIN_WORDS, GRAM, WINDOW = 20, 30, 21
+#: Fewest words of a reported paragraph; words of a passage's shingle, and shingles of a stretch.
+LEAST, GRAM, WINDOW = 50, 21, 30
+REACH, CHANGED = WINDOW - 1, 2
 #: Most members of a cell that one exact comparison holds.
-BLOCK = 512
-_WORD = re.compile(r"\S+")
+BLOCK = 256
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_KEPT_WORDS = 500_000
-_HASHES: dict[str, int] = {}
+_KEPT_WORDS = 1_000_000
 
-UNIT_SCHEMA = (
-    "doc long, row int, unit int, piece boolean, start int, n_chars int, n_words int, class long, bands array<long>"
-)
+ROW = ("k", "none", "row")
+ROW_SCHEMA = "k long, none boolean, row long"
+UNIT_SCHEMA = f"{ROW_SCHEMA}, unit int, piece boolean, n_words int, class long, left long, right long, bands array<long>"
+_UNIT_NAMES = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
 
 
-def _word_hash(word: str) -> int:
-    found = _HASHES.get(word)
-    if found is None:
+class _WordHashes(dict):
+    """A word's hash, worked out when it is first met."""
+
+    def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(_HASHES) > _KEPT_WORDS:
-            _HASHES.clear()
-        found = _HASHES[word] = xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-    return found
+        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
 
+_HASHES = _WordHashes()
 
-def _hash_array(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_word_hash, words), np.uint64, count=len(words))
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    if len(_HASHES) > _KEPT_WORDS:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, count=len(words))
 
 
 def shingle_array(hashes: np.ndarray) -> np.ndarray:
@@ -65,13 +72,6 @@ def shingle_array(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _row(text: str) -> int:
-    """Tells texts of one key apart."""
-    from xxhash import xxh32_intdigest
-
-    return xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
-
-
 def _class(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -79,17 +79,6 @@ def _class(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _spans(line: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a line start and end."""
-    lengths = np.fromiter(map(len, words), np.int64, count=len(words))
-    lead = len(line) - len(line.lstrip())
-    if lengths.sum() + len(words) - 1 == len(line.rstrip()) - lead:  # one character between words
-        ends = lead + np.cumsum(lengths + 1) - 1
-        return ends - lengths, ends
-    found = np.array([m.span() for m in _WORD.finditer(line)])
-    return found[:, 0], found[:, 1]
-
-
 def gram_hashes(hashes: np.ndarray) -> np.ndarray:
     """A hash per run of GRAM words: hashes of 2, 4, 8 and 16 words, then of two overlapping runs of 16."""
 
@@ -120,40 +109,40 @@ def picked(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(grams == _slide(np.concatenate([pad, least, pad]), width, np.maximum))
 
 
-def lines_of(text: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(number, start, end, word hashes) of the lines of at least MIN_WORDS words; words have no white space."""
-    at = number = 0
-    for line in text.split("\n"):
-        words = line.split() if len(line) >= 2 * MIN_WORDS - 1 else ()
-        if len(words) >= MIN_WORDS:
-            yield number, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), _hash_array(words)
-            number += 1
-        at += len(line) + 1
+def _ahead(codes: np.ndarray) -> np.ndarray:
+    """At each word the two-bit codes of the next REACH words, itself first, and above them how many there are."""
+    n, size = len(codes), 1
+    out = np.concatenate([codes, np.zeros(REACH, np.uint64)])
+    while 2 * size <= REACH:
+        out, size = out[: len(out) - size] | (out[size:] << np.uint64(2 * size)), 2 * size
+    step = REACH - size
+    out = out[: len(out) - step] | (out[step:] << np.uint64(2 * step))
+    there = np.minimum(np.arange(n, 0, -1), REACH).astype(np.uint64)
+    return np.append(out[:n] & np.uint64((1 << 2 * REACH) - 1) | (there << np.uint64(2 * REACH)), np.uint64(0))
 
 
-def units_of(text: str) -> Iterator[tuple[int, bool, int, int, int, int, np.ndarray | None]]:
-    """(number, piece?, start, end, words, class, word hashes of a line) of the units of a whole text.
+def pieces_of(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the kept shingles of a text: positions, hashes, and the words before and behind as codes."""
+    grams = gram_hashes(hashes)
+    at, codes = picked(grams), (hashes >> np.uint64(40)) & np.uint64(3)
+    left = _ahead(codes[::-1])[::-1]  # the words ahead of position i stand at i
+    return at, grams[at].view(np.int64), left[at].view(np.int64), _ahead(codes)[at + GRAM].view(np.int64)
 
-    Lines are numbered; a piece has the number of its first word.
-    """
-    at = number = 0
-    hashes, starts, ends = [], [], []
-    for line in text.split("\n"):
+
+def lines_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first word in the text, word hashes) of the lines of at least LEAST words."""
+    at = 0
+    for line in text.lower().split("\n"):
         words = line.split()
-        if words:
-            here = _hash_array(words)
-            a, b = _spans(line, words)
-            if len(words) >= MIN_WORDS:
-                yield number, False, at + int(a[0]), at + int(b[-1]), len(words), _class(here), here
-                number += 1
-            hashes.append(here)
-            starts.append(a + at)
-            ends.append(b + at)
-        at += len(line) + 1
-    if sum(map(len, hashes)) >= GRAM:
-        grams, start, end = gram_hashes(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
-        for i in picked(grams).tolist():
-            yield i, True, int(start[i]), int(end[i + GRAM - 1]), GRAM, int(grams[i : i + 1].view(np.int64)[0]), None
+        if len(words) >= LEAST:
+            yield at, word_hashes(words)
+        at += len(words)
+
+
+def whole_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """A text with a word as one line, like ``lines_of``."""
+    if words := text.lower().split():
+        yield 0, word_hashes(words)
 
 
 def _bands(shingles: list[np.ndarray]) -> np.ndarray:
@@ -170,93 +159,91 @@ def _bands(shingles: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(*carried(key), text_id(text).alias("row"), F.col(text).alias("t")).where("t <> ''")
+
+
 def text_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The units of every row; bands for lines only."""
+    """The lines and pieces of every row; unit: number of the first word. Bands for lines, neighbours for pieces."""
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
         for batch in batches:
             for at in range(0, len(batch), 200):
-                some = batch.iloc[at : at + 200]
-                rows, shingles, lines = [], [], []
-                for doc, whole in zip(some["k"], some["t"], strict=True):
-                    row = _row(whole) if whole else 0
-                    for number, piece, start, end, size, hashed, hashes in units_of(whole) if whole else ():
-                        if not piece:
-                            lines.append(len(rows))
-                            shingles.append(shingle_array(hashes))
-                        rows.append([doc, row, number, piece, start, end - start, size, hashed, None])
-                if rows:
-                    for i, bands in zip(lines, _bands(shingles) if lines else (), strict=True):
-                        rows[i][-1] = bands
-                    frame = pd.DataFrame(rows, columns=names)
-                    frame["doc"] = frame["doc"].astype("Int64")
-                    yield frame
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(per_batch, UNIT_SCHEMA)
-
-
-def _near(a: frozenset, b: frozenset) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < THRESHOLD * large:
-        return False
-    both = len(a & b)
-    return both >= THRESHOLD * (small + large - both) - 1e-9
-
-
-def whole_of(text: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """A text with a word as one line, like ``lines_of``."""
-    if words := text.split():
-        yield 0, 0, len(text), _hash_array(words)
+                some, parts, shingles, lines = batch.iloc[at : at + 200], [], [], []
+                for i, whole in enumerate(some["t"]):
+                    for unit, hashes in lines_of(whole):
+                        lines.append((i, unit, len(hashes), _class(hashes)))
+                        shingles.append(shingle_array(hashes))
+                    words = whole.lower().split()
+                    if len(words) >= GRAM:
+                        where, *rest = pieces_of(word_hashes(words))
+                        parts.append((np.full(len(where), i), where, *rest))
+                if parts:
+                    of, unit, grams, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    frame = some[list(ROW)].iloc[of].reset_index(drop=True)
+                    bands = pd.Series([None] * len(frame), dtype=object)
+                    yield frame.assign(unit=unit, piece=True, n_words=GRAM, **{"class": grams}, left=left, right=right, bands=bands)
+                if lines:
+                    of, unit, size, classes = zip(*lines, strict=True)
+                    frame = some[list(ROW)].iloc[list(of)].reset_index(drop=True)
+                    frame = frame.assign(unit=unit, piece=False, n_words=size, **{"class": classes}, left=0, right=0)
+                    yield frame.assign(bands=list(_bands(shingles)))
+
+    return _rows(docs, key, text).mapInPandas(per_batch, UNIT_SCHEMA)
 
 
 def whole_texts(docs: DataFrame, key: str, text: str, mark: Callable[[str], int]) -> DataFrame:
-    """(doc, unit, piece, class, fp, bands) of every row with a word, its whole text as one line; fp: its ``mark``."""
+    """(k, none, row, unit, class, fp, bands) of every row with a word, its whole text as one line; fp: its ``mark``."""
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 some = batch.iloc[at : at + 200]
-                texts = [(doc, h, t) for doc, t in zip(some["k"], some["t"], strict=True) for *_, h in whole_of(t or "")]
+                texts = [(i, h, t) for i, t in enumerate(some["t"]) for _, h in whole_of(t)]
                 if texts:
-                    bands = list(_bands([shingle_array(h) for _, h, _ in texts]))
-                    frame = pd.DataFrame({"doc": [doc for doc, *_ in texts], "unit": 0, "piece": False})
-                    frame["doc"] = frame["doc"].astype("Int64")
+                    frame = some[list(ROW)].iloc[[i for i, *_ in texts]].reset_index(drop=True)
                     prints = np.array([mark(t) for *_, t in texts], np.uint64).view(np.int64)
-                    yield frame.assign(**{"class": [_class(h) for _, h, _ in texts], "fp": prints, "bands": bands})
+                    bands = list(_bands([shingle_array(h) for _, h, _ in texts]))
+                    yield frame.assign(unit=0, **{"class": [_class(h) for _, h, _ in texts], "fp": prints, "bands": bands})
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(per_batch, "doc long, unit int, piece boolean, class long, fp long, bands array<long>")
+    return _rows(docs, key, text).mapInPandas(per_batch, f"{ROW_SCHEMA}, unit int, class long, fp long, bands array<long>")
 
 
-def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str, lines_in=lines_of) -> DataFrame:
+def _near(a: frozenset, b: frozenset) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < THRESHOLD * large:
+        return False
+    both = len(a & b)
+    return both >= THRESHOLD * (small + large - both) - 1e-9
+
+
+def near_classes(lines: DataFrame, docs: DataFrame, key: str, text: str, lines_in=lines_of) -> DataFrame:
     """(a, b): verified links that connect near classes of lines (of what ``lines_in`` takes as lines).
 
     First every member of a cell (a band's key) is checked against the cell's smallest class. Cells whose
     members then lie in different components are compared whole, in pairs of blocks of at most BLOCK members,
     so that every collision is decided; only links between different components leave a task.
     """
-    lines = units.where("not piece")
     cells = lines.select("class", F.posexplode("bands").alias("band", "value"))
     cells = cells.select("class", F.xxhash64("band", "value").alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.min("class").alias("pivot"), F.max("class").alias("m")).where("pivot < m")
-    members = cut(cells.join(crowded.drop("m"), "cell").distinct())
+    crowded = cut(cells.groupBy("cell").agg(F.min("class").alias("pivot"), F.max("class").alias("m")).where("pivot < m").drop("m"))
+    members = cut(cells.join(crowded, "cell").distinct())
     wanted = lines.join(members.select("class").distinct(), "class", "left_semi")
-    wanted = wanted.groupBy("class").agg(F.min(F.struct("doc", "unit")).alias("at"))
-    wanted = wanted.select("class", F.col("at.doc").alias("doc"), F.col("at.unit").alias("unit"))
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("unit", "class")).alias("wanted"))
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    rows = rows.join(per_doc.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
+    wanted = wanted.groupBy("class").agg(F.min(F.struct("none", "k", "row", "unit")).alias("at"))
+    per_row = wanted.groupBy(*[F.col(f"at.{c}").alias(f"_{c}") for c in ROW]).agg(
+        F.collect_list(F.struct(F.col("at.unit").alias("unit"), "class")).alias("wanted")
+    )
+    rows = _rows(docs, key, text)
+    rows = rows.join(per_row, [F.col(c) == F.col(f"_{c}") for c in ROW])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for whole, want in zip(batch["t"], batch["wanted"], strict=True):
-                numbers = {(w["unit"], w["class"]) for w in want}
-                for number, _, _, hashes in lines_in(whole) if whole else ():
-                    if (number, c := _class(hashes)) in numbers:
-                        out.append((c, np.unique(shingle_array(hashes)).view(np.int64)))
+                units = {w["unit"]: w["class"] for w in want}
+                for unit, hashes in lines_in(whole):
+                    if unit in units:
+                        out.append((units[unit], np.unique(shingle_array(hashes)).view(np.int64)))
             yield pd.DataFrame(out, columns=["class", "shingles"])
 
     shingles = rows.select("t", "wanted").mapInPandas(sets, "class long, shingles array<long>")
@@ -272,7 +259,7 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str, lines_i
     rooted = members.select("cell", "class").join(parts, "class", "left")
     rooted = cut(rooted.select("cell", "class", F.coalesce("component", "class").alias("root")))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo < hi").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    mixed = cut(mixed.where("lo < hi").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     mine = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     blocks = rooted.join(mixed, "cell").select(
         "cell", "class", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
@@ -290,8 +277,11 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str, lines_i
                 return x
 
             found = []
+            group.sort(key=lambda m: len(m[2]))
             for i, (ca, ra, sa) in enumerate(group):
                 for cb, rb, sb in group[i + 1 :]:
+                    if len(sa) < THRESHOLD * len(sb):
+                        break  # and so are all larger ones
                     if ra != rb and top(ra) != top(rb) and _near(sa, sb):
                         found.append((ca, cb))
                         joined[max(top(ra), top(rb))] = min(top(ra), top(rb))
@@ -312,82 +302,114 @@ def near_classes(units: DataFrame, docs: DataFrame, key: str, text: str, lines_i
     return links.union(cut(order.mapInPandas(compared, "a long, b long")))
 
 
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per unit that repeats or nearly repeats elsewhere (or in its own document).
+def _place(unit: str | Column = "unit", *more: str) -> Column:
+    return F.struct("none", "k", "row", unit, *more)
+
 
-    Returns key, unit (number of the line in the text; of a piece's first word), piece, start, n_chars (code
-    points), n_words, component_doc and component_unit (the cluster's first unit, by key and number; for a
-    piece, the first word of its first occurrence), removed (false for that first unit). Pieces are equal runs
-    of GRAM words or more, their ends up to WINDOW - 1 words short of the whole passage; a run that overlaps
-    its first occurrence is no repeat. Null and empty texts, short lines and unique units give no row; rows
-    with a null key sort last. Repeated rows of ``docs`` repeat each other; pieces of rows that are alike in key
-    and text come once. Other columns are ignored; an empty table gives an empty result.
+def _row_of(place: str) -> Column:
+    return F.struct(f"{place}.none", f"{place}.k", f"{place}.row")
+
+
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
+    """A row per paragraph of LEAST words or more that repeats or nearly repeats in another text (``within``: or in its own).
+
+    Returns key, piece (false for a line), start_word (number of the first word in the text), n_words,
+    component_doc and component_word (where the cluster's first paragraph stands, by key, null last), removed
+    (false for that first one). Words are runs without white space, lower-cased. Repeats in a
+    text of its own must lie LEAST words apart. Null, empty and short texts and unique paragraphs give no row. Rows alike in
+    key and text are one document and give the rows of one; null keys are told apart by their texts. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    units = cut(text_units(docs, key, text))
-    lines = units.where("not piece")
-    found = connected_components(near_classes(units, docs, key, text), "a", "b").withColumnRenamed("node", "class")
-    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "unit")
-    classes = lines.groupBy("class").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    units = stored(text_units(docs, key, text))
+    lines = units.where("not piece").select(*ROW, "unit", "n_words", "class", "bands")
+    found = connected_components(near_classes(lines, docs, key, text), "a", "b").withColumnRenamed("node", "class")
+    lines = lines.drop("bands").distinct()
+    classes = lines.groupBy("class").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     rooted = classes.join(found, "class", "left").withColumn("root", F.coalesce("component", "class"))
-    rooted = cut(rooted.select("class", "root", "n", "first"))
-    clusters = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
-    named = rooted.select("class", "root").join(clusters.select("root", "first"), "root").select("class", "first")
+    rooted = cut(rooted.select("class", "root", "first", "last"))
+    clusters = rooted.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    clusters = clusters.where(F.col("first") != F.col("last") if within else _row_of("first") != _row_of("last"))
+    named = cut(rooted.select("class", "root").join(clusters.select("root", "first"), "root").select("class", "first"))
     rows = lines.join(named, "class")
-    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("unit") == F.col("first.unit"))
-    whole = rows.select(
-        F.col("doc").alias(key), "unit", "piece", "start", "n_chars", "n_words",
-        F.col("first.doc").alias("component_doc"), F.col("first.unit").alias("component_unit"), (~same).alias("removed"),
+    same = _place() == F.col("first")
+    whole = rows.select(*ROW, F.lit(False).alias("piece"), "unit", "n_words", "first", (~same).alias("removed"))
+    return whole.union(_repeated_runs(units, within)).select(
+        restored(key), "piece", F.col("unit").alias("start_word"), "n_words",
+        F.when(~F.col("first.none"), F.col("first.k")).alias("component_doc"), F.col("first.unit").alias("component_word"),
+        "removed", F.col("row").alias("text_id"),
     )
-    return whole.union(_repeated_runs(units).withColumnRenamed("doc", key))
-
-
-def _repeated_runs(units: DataFrame) -> DataFrame:
-    """The pieces that repeat, neighbours with the same first occurrence as one row; columns as above."""
-    at = F.struct(F.col("doc").isNull().alias("none"), "doc", "unit", "row")
-    pieces = units.where("piece").select("doc", "row", "unit", "start", "n_chars", "class")
-    ends = pieces.groupBy("class").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
-    inside = F.col("last.doc").eqNullSafe(F.col("first.doc")) & (F.col("last.row") == F.col("first.row"))
-    apart = F.col("last.unit") - F.col("first.unit")
-    ends = ends.where("n > 1").where(~inside | (apart >= GRAM) | (apart == 0)).select("class", "first")
-    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("row") == F.col("first.row"))
+
+
+def _equal_words(a: Column, b: Column) -> Column:
+    """How many words next to two shingles agree."""
+    codes = a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 2 * REACH) - 1))
+    low = F.bit_count(codes.bitwiseAND(-codes) - 1)  # zeros below the lowest bit; 64 if there is no bit
+    return F.least((low / 2).cast("int"), F.shiftright(a, 2 * REACH).cast("int"), F.shiftright(b, 2 * REACH).cast("int"))
+
+
+def _repeated_runs(units: DataFrame, within: bool) -> DataFrame:
+    """The repeated passages: (k, none, row, piece, unit, n_words, first, removed)."""
+    pieces = units.where("piece").select(*ROW, "unit", "class", "left", "right")
+    often = cut(pieces.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
+    pieces = stored(pieces.join(often, "class", "left_semi"))
+    place = _place("unit", "left", "right")
+    ends = pieces.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
+    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere))
+    own = F.struct("none", "k", "row") == _row_of("first")
     shift = F.col("unit") - F.col("first.unit")
-    rows = pieces.join(ends, "class").where(~same | (shift == 0) | (shift >= GRAM))
+    rows = pieces.join(ends, "class").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
+    # The first occurrence is held against the last, all others against the first.
+    other = lambda side: F.when(own & (shift == 0), F.col(f"last.{side}")).otherwise(F.col(f"first.{side}"))
     rows = rows.select(
-        "doc", "row", "unit", "start", (F.col("start") + F.col("n_chars")).alias("end"),
-        F.col("first.doc").alias("component_doc"), F.col("first.row").alias("first_row"), shift.alias("shift"),
-        (~same | (shift != 0)).alias("removed"),
-    )
-    by = ["doc", "row", "component_doc", "first_row", "shift", "removed"]
+        *ROW, "unit", _row_of("first").alias("of"), shift.alias("shift"), (~own | (shift != 0)).alias("removed"),
+        _equal_words(F.col("left"), other("left")).alias("l"), _equal_words(F.col("right"), other("right")).alias("r"),
+    ).distinct()
+    by = [*ROW, "of", "shift", "removed"]
     order = Window.partitionBy(*by).orderBy("unit")
-    fresh = F.col("unit") - F.coalesce(F.lag("unit").over(order), F.lit(-GRAM - 1)) > GRAM
-    runs = rows.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order))
-    runs = runs.groupBy(*by, "run").agg(
-        F.min("unit").alias("unit"), F.max("unit").alias("to"), F.min("start").alias("start"), F.max("end").alias("end")
-    )
-    return runs.select(
-        "doc", "unit", F.lit(True).alias("piece"), "start", (F.col("end") - F.col("start")).alias("n_chars"),
-        (F.col("to") - F.col("unit") + GRAM).alias("n_words"), "component_doc",
-        (F.col("unit") - F.col("shift")).alias("component_unit"), "removed",
+    step = F.col("unit") - F.lag("unit").over(order)
+    gap = F.greatest(step - GRAM, F.lit(0))  # words between this shingle and the one before
+    seen = F.least(gap, F.lag("r").over(order) + F.col("l"))
+    rows = rows.select(*by, "unit", "l", "r", (step - gap + seen).alias("same"), (gap - seen).alias("off"))
+    fresh = F.when(F.col("same").isNotNull() & (F.col("off") <= CHANGED), 0).otherwise(1)
+    rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    runs = rows.groupBy(*by, "run").agg(
+        F.min("unit").alias("from"), F.max("unit").alias("to"), F.min_by("l", "unit").alias("l"), F.max_by("r", "unit").alias("r"),
+        F.sum(F.when(F.col("fresh") == 0, F.col("same")).otherwise(GRAM)).alias("same"),
     )
+    start, same = F.col("from") - F.col("l"), F.col("same") + F.col("l") + F.col("r")
+    size = F.col("to") + GRAM + F.col("r") - start
+    runs = runs.select(*by, start.alias("unit"), size.alias("n_words"), same.alias("same"))
+    runs = runs.where((F.col("n_words") >= LEAST) & (F.col("same") >= THRESHOLD * F.col("n_words")))
+    first = F.struct("of.none", "of.k", "of.row", (F.col("unit") - F.col("shift")).alias("unit"))
+    return runs.select(*ROW, F.lit(True).alias("piece"), "unit", "n_words", first.alias("first"), "removed")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all removed units cut out of the texts; keys must be unique. Columns stay."""
-    spans = repeated_units(docs, key, text).where("removed").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n_chars")).alias("end")))).alias("_spans")
-    )
+    """``docs`` with all removed paragraphs cut out of the texts. Columns and rows stay; null keys and keys that
+    repeat are told apart by their texts."""
+    spans = repeated_units(docs, key, text).where("removed").select(
+        F.coalesce(key, F.lit(0)).alias("_k"), F.col(key).isNull().alias("_none"), F.col("text_id").alias("_row"),
+        F.struct(F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end")).alias("span"),
+    )
+    spans = spans.groupBy("_k", "_none", "_row").agg(F.sort_array(F.collect_list("span")).alias("_spans"))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        import re
+
         out = []
-        for whole, cuts in zip(texts, spans, strict=True):
-            if whole is not None and cuts is not None:
+        for whole, gone in zip(texts, spans, strict=True):
+            if whole is not None and gone is not None:
+                words = [m.span() for m in re.finditer(r"\S+", whole)]
                 parts, at = [], 0
-                for s in cuts:
-                    parts.append(whole[at : max(at, s["start"])])
-                    at = max(at, s["end"])
+                for s in gone:
+                    parts.append(whole[at : max(at, words[s["start"]][0])])
+                    at = max(at, words[s["end"] - 1][1])
                 whole = "".join(parts) + whole[at:]
             out.append(whole)
         return pd.Series(out, dtype=object)
 
-    return docs.join(spans, key, "left").withColumn(text, cut_out(F.col(text), F.col("_spans"))).select(*docs.columns)
+    k, none = carried(key)
+    on = (k == F.col("_k")) & (none == F.col("_none")) & (text_id(text) == F.col("_row"))
+    return docs.join(spans, on, "left").withColumn(text, cut_out(F.col(text), F.col("_spans"))).select(*docs.columns)
