@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 def quantile_bounds(df: DataFrame, column: str, pieces: int) -> list[int]:
     """At most ``pieces - 1`` ascending integers that cut ``column`` into ranges of about equal row counts.
 
-    Only the bounds reach the driver. Nulls are ignored, an empty frame gives no bound.
+    A value that fills several ranges gets one of its own. Only the bounds reach the driver. Nulls are ignored,
+    an empty frame gives no bound.
     """
     if pieces < 2:
         return []
     probabilities = [i / pieces for i in range(1, pieces)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", probabilities, 0.25 / pieces)
-    return sorted({int(x) for x in found})
+    values = [int(x) for x in found]
+    return sorted({*values, *(a + 1 for a, b in zip(values, values[1:], strict=False) if a == b and a < (1 << 63) - 1)})
 
 
 def range_bucket(column: Column, bounds: list[int]) -> Column:
