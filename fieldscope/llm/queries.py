@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.DIGEST_SQL,
+    "op6_fingerprints": fingerprint.PAIRS_SQL,
     "op9_decontamination": decontam.CONTAINED_SQL,
     "op10_sharding": sharding.SHARDED_SQL,
 }
