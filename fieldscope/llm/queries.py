@@ -61,7 +61,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    scores = lmscore.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("loss_target", "loss_background", "score")})
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.DIGEST_SQL,
     "op6_fingerprints": fingerprint.PAIRS_SQL,
+    "op8_lm_scoring": lmscore.SCORES_SQL,
     "op9_decontamination": decontam.CONTAINED_SQL,
     "op10_sharding": sharding.SHARDED_SQL,
 }
