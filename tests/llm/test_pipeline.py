@@ -1,12 +1,27 @@
 """The pipeline's stages against brute force on a small folder of tables."""
 
 import random
+from itertools import combinations
 
 import pytest
 
 import corpus_pipeline
 from fieldscope.llm import langid, sharding
-from test_corpus_operators import made_languages, slow_components, slow_jump, slow_simhash
+from test_corpus_operators import hard_rows, made_languages, slow_components, slow_jump, slow_simhash
+
+
+def slow_groups(texts):
+    """Smallest index reachable over fingerprints within three bits and five-word Jaccard of 0.8, all pairs."""
+    root = slow_components([slow_simhash(t) for t in texts])
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in combinations(range(len(texts)), 2):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root, moved = [low if r == high else r for r in root], True
+    return root
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +48,13 @@ def test_stages(spark, folder):
         got = out.collect()
         ids = sorted(r["doc_id"] for r in got)
         if name == "language_id":
-            labels = {r["doc_id"]: r["lang_pred"] for r in langid.label_documents(docs).collect()}
-            assert ids == [i for i in kept if labels[i] != "und"] == [i for i in kept if i < 400]
+            labels = {r["doc_id"]: r for r in langid.label_documents(docs).collect()}
+            known = [i for i in kept if labels[i]["lang_pred"] != "und" and labels[i]["score"] >= langid.LEAST_SCORE]
+            # Texts of one language stay, whatever their label; those without a letter go, and some mixtures may.
+            assert ids == known and {i for i in kept if i < 300} <= set(ids) <= {i for i in kept if i < 400}
+            assert all(r["lang"] == labels[r["doc_id"]]["lang_pred"] for r in got)
         elif name == "simhash_near_dedup":
-            roots = slow_components([slow_simhash(text[i]) for i in kept])
-            assert ids == [kept[i] for i in sorted(set(roots))]
+            assert ids == [kept[i] for i in sorted(set(slow_groups([text[i] for i in kept])))]
         elif name == "decontamination":
             assert ids == [i for i in kept if not 320 <= i < 326] and len(ids) < len(kept)
         elif name == "mixing_to_targets":
@@ -86,3 +103,26 @@ def test_run_is_the_stages_in_turn(spark, folder):
     first = sorted(map(tuple, corpus_pipeline.run(spark, where).collect()))
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, where).collect()))
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_on_hard_rows(spark, folder, tmp_path):
+    """Null ids, empty and very long texts, repeated rows, clashing columns, and no rows at all, through every stage."""
+    where, _ = folder
+    df = hard_rows(spark)
+    df = df.unionByName(df.where("doc_id is null")).unionByName(df.where("doc_id = 7"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, where)
+        assert stage(spark, df.limit(0), where).count() == 0
+        rows = out.collect()
+        if name == "language_id":
+            assert not {r["doc_id"] for r in rows} & {1, 2, 3, 8} and sum(r["doc_id"] is None for r in rows) in (0, 2)
+        elif name == "simhash_near_dedup":
+            assert sorted(r["doc_id"] or 0 for r in rows) == [0, 1, 4, 5, 7, 8]
+        elif name == "decontamination":
+            assert len(rows) == df.count()
+        elif name == "mixing_to_targets":
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in df.select("doc_id").collect()}
+        else:
+            assert len(rows) == df.count() and rows[0]["law"] == "key"
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == df.columns
