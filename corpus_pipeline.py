@@ -12,28 +12,44 @@ from fieldscope.llm import decontam, langid, mixing, sharding, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a clear language go; ``lang`` then holds the language found.
+
+    Null, empty and letterless texts go. Null and repeated ids, repeated rows and very long texts are judged by
+    their own whole text. An empty table stays empty; columns stay, whatever their names.
+    """
     ready(spark)
     return langid.keep_known(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one of smallest id.
+
+    Null and empty texts are one group. Rows are told apart by id and text, so that texts that share an id, or
+    have none, are kept; of rows alike in both, one stays. An empty table stays empty; columns stay.
+    """
     return simhash.keep_one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by its own whole text.
+
+    Null and empty texts hold none; null and repeated ids do not matter. Without items nothing goes. An empty
+    table stays empty; columns stay.
+    """
     return decontam.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target takes it."""
+    """Every document as often as its source's target takes it: not at all, once or twice.
+
+    A null source is a source; null and empty texts have no words but are documents. Rows alike in every column
+    are counted and their copies added up. An empty table stays empty; columns stay.
+    """
     return mixing.take(docs)
 
 
 def sharding_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix (see ``shard_documents``): null ids go with id 0, copies stay together."""
     return sharding.shard_documents(docs)
 
 
@@ -50,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again as the next input."""
+    """All stages over ``documents``; each result is written as Parquet and read again as the next input.
+
+    Hard rows (nulls, empty and very long texts, repeats, ties, clashing names, no rows) go as each stage says.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
