@@ -35,8 +35,12 @@ def _shingle_strings(w: str, size: int) -> Column:
 
 
 def _items(benchmark: DataFrame, item_key: str, text: str, threshold: float) -> DataFrame:
-    """A row per item with a word: item_key, length of its shingles, shingle strings, and its min-hash sketch."""
-    rows = benchmark.select(F.col(item_key).alias("item"), words(F.col(text), NOT_ALNUM).alias("w"))
+    """A row per item with a word: item_key, iid, length of its shingles, shingle strings, and its min-hash sketch.
+
+    iid stands for key and text, so that items without a key are told apart; items alike in both are one.
+    """
+    iid = F.xxhash64(F.coalesce(F.col(item_key).cast("string"), F.lit("null")), text).alias("iid")
+    rows = benchmark.select(F.col(item_key).alias("item"), iid, words(F.col(text), NOT_ALNUM).alias("w")).dropDuplicates(["iid"])
     rows = rows.where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(SHINGLE)))
     rows = rows.withColumn("wh", hashed(F.col("w")))
     sizes = F.lit(None).cast("array<bigint>")
@@ -50,7 +54,7 @@ def _items(benchmark: DataFrame, item_key: str, text: str, threshold: float) ->
     missing = F.floor((1 - _share(threshold)) * F.col("largest")).cast("int")
     sketch = F.slice(F.sort_array("hashes"), F.lit(1), F.least(missing + 1, F.size("hashes")))
     need = F.ceil(_share(threshold) * F.col("n")).cast("int")
-    return rows.select("item", "length", "item_set", "n", need.alias("need"), sketch.alias("sketch"))
+    return rows.select("item", "iid", "length", "item_set", "n", need.alias("need"), sketch.alias("sketch"))
 
 
 def contained_items(
@@ -67,10 +71,11 @@ def contained_items(
     Words are runs of letters and digits, lower-cased; shingles take five of them, distinct; an item of
     fewer words is one shingle of its own length. A text holds an item if it has at least ``threshold`` of
     its shingles; texts are searched whole. Null and empty texts and items without a word give no row. Rows
-    of one key count as one document and give its best row; null keys likewise. Other columns are ignored.
+    of one key count as one document and give its best row; null keys likewise. Items without a key are told
+    apart by their texts. Other columns are ignored; empty tables give an empty result.
     """
     items = cut(_items(benchmark, item_key, item_text, threshold))
-    sketches = items.select("item", "length", "need", F.explode("sketch").alias("hash"))
+    sketches = items.select("iid", "length", "need", F.explode("sketch").alias("hash"))
     size = sketches.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most SHINGLE rows
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = texts.select("key", words(F.col("text"), NOT_ALNUM).alias("w"))
@@ -83,21 +88,21 @@ def contained_items(
         seen = seen.select("key", shingle_hashes(F.col("wh"), length).alias("h"))
         # The outer form and the coalesce keep inferred filters from being pushed into (and repeating) the work above.
         seen = seen.select("key", F.coalesce(F.size("h"), F.lit(0)).alias("size"), F.explode_outer("h").alias("hash"))
-        hits = seen.join(wanted, "hash").where(F.col("size") >= F.col("need")).select("key", "item").distinct()
+        hits = seen.join(wanted, "hash").where(F.col("size") >= F.col("need")).select("key", "iid").distinct()
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = rows.join(sketches, F.lit(False)).select("key", "item")
-    pairs = found.withColumnRenamed("key", "_key").join(items.drop("sketch", "need"), "item")
+        found = rows.join(sketches, F.lit(False)).select("key", "iid")
+    pairs = found.withColumnRenamed("key", "_key").join(items.drop("sketch", "need"), "iid")
     both = texts.join(pairs, F.col("key").eqNullSafe(F.col("_key")))
     both = both.select(
-        "key", "item", "item_set", "n", "length", words(F.col("text"), NOT_ALNUM).alias("found_words")
+        "key", "item", "iid", "item_set", "n", "length", words(F.col("text"), NOT_ALNUM).alias("found_words")
     )
     matched = F.lit(0)
     for length in range(1, SHINGLE + 1):
         here = F.size(F.array_intersect(_shingle_strings("found_words", length), "item_set"))
         matched = F.when(F.col("length") == length, here).otherwise(matched)
     # Filtered after the aggregation: a filter on the rows would be pushed down and repeat the work above.
-    best = both.withColumn("matched", matched).groupBy("key", "item")
+    best = both.withColumn("matched", matched).groupBy("key", "item", "iid")
     best = best.agg(F.max("n").alias("n"), F.max("matched").alias("matched"))
     best = best.where(F.col("matched") >= _share(threshold) * F.col("n"))
     return best.select(
