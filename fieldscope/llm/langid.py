@@ -278,5 +278,6 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE, key: str = "doc_id",
         langs, scores = predict(model.value, texts.tolist())
         return pd.Series([x if x != UND and s >= least else None for x, s in zip(langs, scores, strict=True)], dtype=object)
 
-    rows = docs.withColumn("_known_lang", known(F.col(text))).where("_known_lang is not null")
+    # Called non-deterministic, or Spark would run it once for the filter and again for the column.
+    rows = docs.withColumn("_known_lang", known.asNondeterministic()(F.col(text))).where("_known_lang is not null")
     return rows.withColumn(lang, F.col("_known_lang")).select(*docs.columns)
