@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.deploy import ready
-from fieldscope.llm import chat, decontam, fingerprint, langid, lmscore, mixing, sharding, simhash, substring, toxicity
+from fieldscope.llm import bpe, chat, decontam, fingerprint, langid, lmscore, mixing, sharding, simhash, substring, toxicity
 
 #: The conversation that the contract adds to the table.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -69,6 +69,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
