@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.deploy import ready
-from fieldscope.llm import bpe, chat, decontam, fingerprint, langid, lmscore, mixing, sharding, simhash, substring, toxicity
+from fieldscope.llm import bpe, chat, collocations, decontam, fingerprint, hardneg, langid, lmscore, mixing, sharding, simhash, substring, toxicity
 
 #: The conversation that the contract adds to the table.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -69,10 +69,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.relabelled(_read(spark, sf_dir, "embeddings"))
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_bpe": op12_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +104,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_lm_scoring": lmscore.SCORES_SQL,
     "op9_decontamination": decontam.CONTAINED_SQL,
     "op10_sharding": sharding.SHARDED_SQL,
+    "op11_hard_negatives": hardneg.NEGATIVES_SQL,
+    "op13_collocations": collocations.PHRASES_SQL,
 }
