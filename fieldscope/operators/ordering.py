@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.durable import scratch
+
 
 def quantile_bounds(df: DataFrame, column: str, pieces: int) -> list[int]:
     """At most ``pieces - 1`` ascending integers that cut ``column`` into ranges of about equal row counts.
@@ -37,42 +40,88 @@ def range_bucket(column: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], most: int = 200_000, error: float = 0.001) -> list[float | None]:
+#: Rank selection: sub-ranges that one pass counts for each range it narrows are about 2^PASS_BITS.
+PASS_BITS = 11
+_TOP = 2047 << 52
+
+
+def ordered_bits(df: DataFrame, column: str) -> DataFrame:
+    """(key): for each number of a column a long that sorts as the double does; nulls and NaN are left out.
+
+    A key is the double's bits, negated for negative numbers; both zeros are 0. The exponent is found by
+    logarithm and put right by comparison; powers of two divide exactly. Steps stay apart, so that none is
+    worked out twice.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    v = v.withColumn("size", F.abs("v"))
+    v = v.withColumn("e", F.floor(F.greatest(F.least(F.log2("size"), F.lit(1023.0)), F.lit(-1022.0))).cast("int"))  # null at 0
+    v = v.withColumn("part", F.col("size") / F.pow(F.lit(2.0), F.col("e")))
+    v = v.withColumn("step", F.when(F.col("part") >= 2, 1).when((F.col("part") < 1) & (F.col("e") > -1022), -1).otherwise(0))
+    v = v.select("v", "size", (F.col("e") + F.col("step")).alias("e"), (F.col("part") / F.pow(F.lit(2.0), F.col("step"))).alias("part"))
+    unit = F.lit(float(1 << 52))
+    normal = (F.col("e") + 1023).cast("long") * F.lit(1 << 52) + ((F.col("part") - 1) * unit).cast("long")
+    bits = F.when(F.col("size") == 0, F.lit(0).cast("long")).when(F.col("size") == float("inf"), F.lit(_TOP))
+    bits = bits.when(F.col("part") < 1, (F.col("part") * unit).cast("long")).otherwise(normal)
+    return v.select("v", bits.alias("bits")).select(F.when(F.col("v") < 0, -F.col("bits")).otherwise(F.col("bits")).alias("key"))
+
+
+def _double(bits: int) -> float:
+    found = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -found if bits < 0 else found
+
+
+def ranked(df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    """The values at wanted ranks (from 0) of a column in order; ranks: of the number of rows.
+
+    Every wanted rank has a range of values that holds it. One aggregate a pass counts the sub-ranges of all
+    ranges, by order-preserving bits, with their least and greatest values; a range narrows to the sub-range
+    of its rank until that holds one value. Each pass takes PASS_BITS of 64 bits, so a handful of scans
+    always ends it, whatever the ties; about 2^PASS_BITS counts a rank reach the driver. The source is read
+    once, the passes read its keys from a table of theirs. Nulls and NaN are left out.
+    """
+    with scratch(ordered_bits(df, column)) as keys:
+        return _selected(keys, ranks)
+
+
+def _selected(keys: DataFrame, ranks: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    first = keys.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    wanted = sorted(set(ranks(first["n"]))) if first["n"] else []
+    at = dict.fromkeys(wanted, (first["lo"], first["hi"], 0))
+    while ranges := sorted({r for r in at.values() if r[0] < r[1]}):
+        of = part = F.lit(None).cast("long")
+        for i, (lo, hi, _) in enumerate(ranges):
+            inside = F.col("key").between(lo, hi)
+            of = F.when(inside, F.lit(i)).otherwise(of)
+            part = F.when(inside, F.shiftright("key", max(0, (hi - lo).bit_length() - PASS_BITS))).otherwise(part)
+        rows = keys.select("key", of.cast("int").alias("of"), part.alias("part")).where("of is not null").groupBy("of", "part")
+        counts: dict[int, list] = {}
+        for row in sorted(rows.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect(), key=lambda r: r["lo"]):
+            counts.setdefault(row["of"], []).append(row)
+        for rank, old in at.items():
+            if old[0] == old[1]:
+                continue
+            below = old[2]
+            for row in counts[ranges.index(old)]:
+                if rank < below + row["n"]:
+                    at[rank] = (row["lo"], row["hi"], below)
+                    break
+                below += row["n"]
+    return {rank: _double(lo) for rank, (lo, _, _) in at.items()}
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
     """Exact percentiles with linear interpolation, one for each of ``probs``; None where there is no number.
 
-    An approximate summary brackets each wanted rank; rows below a bracket are counted, and only the values
-    inside it, ``most`` rows or one value (else the bracket is narrowed again), are put in order. Nothing but
-    the brackets and the wanted values reaches the driver. Nulls and NaN are left out.
+    Ranks are selected by ``ranked``: at most seven scans, bounded counts on the driver. Nulls and NaN are left out.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    ends = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = ends["n"]
-    if not n:
+    places: list[float] = []
+
+    def ranks(n: int) -> list[int]:
+        places.extend(p * (n - 1) for p in probs)
+        return [r for p in places for r in (math.floor(p), math.ceil(p))]
+
+    at = ranked(df, column, ranks)
+    if not at:
         return [None] * len(probs)
-    places = [p * (n - 1) for p in probs]
-    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    brackets = {r: (ends["lo"], ends["hi"], 0, n) for r in ranks}
-    while wide := [r for r, (lo, hi, _, inside) in brackets.items() if inside > most and lo < hi]:
-        for of in {brackets[r] for r in wide}:
-            lo, hi, below, inside = of
-            mine = [r for r in wide if brackets[r] == of]
-            near = [(r - below + 0.5) / inside for r in mine]
-            sides = [x for q in near for x in (max(0.0, q - 2 * error), min(1.0, q + 2 * error))]
-            found = values.where(F.col("v").between(lo, hi)).approxQuantile("v", sides, error)
-            brackets |= {r: (found[2 * i], found[2 * i + 1], below, inside) for i, r in enumerate(mine)}
-        counts = [x for r in wide for x in (F.count_if(F.col("v") < brackets[r][0]), F.count_if(F.col("v").between(*brackets[r][:2])))]
-        row = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
-        brackets |= {r: (*brackets[r][:2], row[2 * i], row[2 * i + 1]) for i, r in enumerate(wide)}
-    wanted: dict[tuple, list[int]] = {}
-    for r in ranks:
-        wanted.setdefault(brackets[r][:3], []).append(r)
-    table = F.array(*[
-        F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(below).cast("long").alias("below"), F.array(*[F.lit(r).cast("long") for r in of]).alias("ranks"))
-        for (lo, hi, below), of in wanted.items()
-    ])
-    inside = values.groupBy("v").agg(F.count("*").alias("n"))
-    inside = inside.select("v", "n", F.explode(F.filter(table, lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
-    upto = F.sum("n").over(Window.partitionBy("b.lo", "b.hi").orderBy("v")) + F.col("b.below")
-    hit = inside.withColumn("upto", upto).select("v", F.explode(F.filter("b.ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("r"))
-    at = {x["r"]: x["v"] for x in hit.collect()}  # two ranks per probability
-    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    low = [(at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)) for p in places]
+    return [a if a == b else a + (b - a) * x for a, b, x in low]

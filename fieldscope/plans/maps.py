@@ -96,7 +96,7 @@ def stats_samples(t: Tables, f: Filter, min_count: int = 15) -> dict[str, DataFr
 def stats_visits(t: Tables, f: Filter, min_count: int = 15) -> dict[str, DataFrame]:
     base = visits_base(t, f)
     out = _common(base, "fecha_evento", min_count) | {"tipos": frequencies(base, "tipo_evento")}
-    return out | ({} if f.route else {"rutas": frequencies(base, "nom_ruta")})
+    return out | ({} if f.route else {"rutas": frequencies(base, "ruta_cobro")})
 
 
 def agents_by_city(t: Tables, centre: int, start: str, end: str) -> DataFrame:

@@ -555,6 +555,6 @@ def _stats_twins(base: str, ts: str, least: int) -> dict[str, str]:
 
 _parts("stats_orders", _stats_twins(ORDERS_SQL, "fecha_pedido", 1) | {"rutas": frequency_sql(ORDERS_SQL, "nom_ruta", "'EMPLEADOS', 'TRANSPORTADORA'")}, lambda t: maps.stats_orders(t, ORDERS, 1))
 _parts("stats_samples", _stats_twins(SAMPLES_SQL, "fecha_evento", 15), lambda t: maps.stats_samples(t, EVENTS))
-_parts("stats_visits", _stats_twins(VISITS_SQL, "fecha_evento", 15) | {"tipos": frequency_sql(VISITS_SQL, "tipo_evento"), "rutas": frequency_sql(VISITS_SQL, "nom_ruta")}, lambda t: maps.stats_visits(t, EVENTS))
+_parts("stats_visits", _stats_twins(VISITS_SQL, "fecha_evento", 15) | {"tipos": frequency_sql(VISITS_SQL, "tipo_evento"), "rutas": frequency_sql(VISITS_SQL, "ruta_cobro")}, lambda t: maps.stats_visits(t, EVENTS))
 _parts("stats_orders_route", _stats_twins(f"{ORDERS_SQL} and k.nom_ruta = '{ROUTED['orders']}'", "fecha_pedido", 1), lambda t: maps.stats_orders(t, replace(ORDERS, route=ROUTED["orders"]), 1))
 _parts("stats_visits_route", _stats_twins(ROUTE_VISITS, "fecha_evento", 15) | {"tipos": frequency_sql(ROUTE_VISITS, "tipo_evento")}, lambda t: maps.stats_visits(t, replace(EVENTS, route=ROUTED["visits"])))

@@ -99,13 +99,46 @@ def test_breaks_are_linear_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     got = [r["valor"] for r in metrics.breaks(df, "v").orderBy("prob").collect()]
     assert np.allclose(got, np.quantile(v, metrics.BREAKS))
-    narrowed = ordering.exact_quantiles(df, "v", metrics.BREAKS, most=5, error=0.05)
-    assert np.allclose(narrowed, got)
     ties = spark.createDataFrame([(1.0,)] * 50 + [(2.0,), (float("nan"),), (None,)], "v double")
-    assert ordering.exact_quantiles(ties, "v", [0.5, 1.0], most=5) == [1.0, 2.0]
+    assert ordering.exact_quantiles(ties, "v", [0.5, 1.0]) == [1.0, 2.0]
     assert ordering.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
+def test_percentiles_of_heavy_ties_end(spark):
+    two = spark.range(500_000).select((F.col("id") % 2).alias("v"))
+    assert ordering.exact_quantiles(two, "v", [0.25, 0.5, 0.75]) == [0.0, 0.5, 1.0]
+    fifty = spark.range(6_000_000).select((F.col("id") % 50 + 1).alias("v"))
+    got = ordering.exact_quantiles(fifty, "v", metrics.CUTS)
+    assert got == np.quantile(np.repeat(np.arange(1.0, 51), 120_000), metrics.CUTS).tolist()
+
+
+HARD_DOUBLES = [
+    0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, np.nextafter(1, 2), np.nextafter(1, 0), -1.0, 0.1, 1e300,
+    1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 3.0, 4.0, np.nextafter(4, 0), 1e-310, 123456.789, 2.0**-1022, 2.0**1023,
+]
+
+
+def test_order_preserving_bits(spark):
+    powers = [s * np.nextafter(2.0**e, to) for e in range(-1074, 1024) for s in (1.0, -1.0) for to in (-np.inf, 2.0**e, np.inf)]
+    values = np.unique(np.array(HARD_DOUBLES + powers) + 0.0)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    keys = sorted(r["key"] for r in ordering.ordered_bits(df, "v").collect())
+    want = values.view(np.int64)
+    assert keys == np.where(want < 0, -(want & (2**63 - 1)), want).tolist()
+    n = len(values)
+    assert ordering.ranked(df, "v", lambda m: [0, 1, m // 2, m - 1]) == {i: values[i] for i in (0, 1, n // 2, n - 1)}
+
+
+def test_a_percentile_takes_few_scans(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(x),) for x in np.random.default_rng(2).normal(size=2000) * 10.0 ** np.arange(-200, 200).repeat(5)], "v double")
+    passes = []
+    kind = type(rows)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (passes.append(1), collect(self))[1])
+    ordering.exact_quantiles(rows, "v", metrics.BREAKS)
+    assert len(passes) <= 8
+
+
 def test_segments_in_many_ranges(spark):
     rows = [(g, i, i * 0.5, -i * 0.25) for i in range(200) for g in [("a", "b", None)[i % 3]] if g != "b" or i > 150]
     df = spark.createDataFrame(rows, "g string, id long, lat double, lon double")
