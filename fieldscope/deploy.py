@@ -20,10 +20,10 @@ def ready(spark: SparkSession) -> None:
     """Give Python workers this package and small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    _ship(spark)
+    ship(spark)
 
 
-def _ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> None:
     """Send the package once per application: Spark serves the archive to every executor."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.functions.scalar import mercator_pixels
+from fieldscope.operators.conform import stack
 from fieldscope.operators.filters import exclude_routes
 from fieldscope.operators.joins import with_route_total
 from fieldscope.operators.metrics import scale
@@ -44,17 +45,31 @@ def cluster(
 
     Up to ``route_until`` a route is one cluster (cell -1); from ``points_from`` every point is its own, in a
     cell of one pixel. ``how`` is sum, or avg over values that are neither null nor zero (0 if none is).
+
+    A pixel of a zoom is two by two of the next: points are aggregated once, at the finest zoom, and each
+    coarser zoom sums the cells of the one before.
     """
-    zoom = F.explode(F.array(*map(F.lit, zooms))).alias("zoom")
-    rows = points.select("latitud", "longitud", F.col(value).alias("v"), (F.col(by) if by else F.lit("")).alias("grupo"), zoom)
-    x, y = mercator_pixels(F.col("latitud"), F.col("longitud"), F.col("zoom"))
-    size = F.lit(radius)
-    if points_from is not None:
-        size = F.when(F.col("zoom") >= points_from, 1).otherwise(size)
-    cx, cy = F.floor(x / size), F.floor(y / size)
-    if by and route_until is not None:
-        whole = F.col("zoom") <= route_until
-        cx, cy = F.when(whole, -1).otherwise(cx), F.when(whole, -1).otherwise(cy)
-    found = F.sum("v") if how == "sum" else F.coalesce(F.avg(F.when(F.col("v") != 0, F.col("v"))), F.lit(0.0))
-    cells = rows.select("zoom", "grupo", cx.cast("long").alias("cx"), cy.cast("long").alias("cy"), "v")
-    return cells.groupBy("zoom", "grupo", "cx", "cy").agg(F.count("*").alias("puntos"), found.alias("valor"))
+    finest = max(zooms)
+    single = lambda zoom: points_from is not None and zoom >= points_from
+    unit = 1 if single(finest) else radius  # pixels of the finest zoom that a cell of the base is wide
+    x, y = mercator_pixels(F.col("latitud"), F.col("longitud"), F.lit(finest))
+    v = F.col(value) if how == "sum" else F.when(F.col(value) != 0, F.col(value))
+    rows = points.select(
+        (F.col(by) if by else F.lit("")).alias("grupo"), F.floor(x / unit).cast("long").alias("cx"), F.floor(y / unit).cast("long").alias("cy"),
+        F.lit(1).cast("long").alias("puntos"), v.alias("v"), v.isNotNull().cast("long").alias("n"),
+    )
+
+    def summed(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("grupo", "cx", "cy").agg(F.sum("puntos").alias("puntos"), F.sum("v").alias("v"), F.sum("n").alias("n"))
+
+    cells, width, out = rows, unit, []
+    for zoom in sorted(set(zooms), reverse=True):
+        wide = (1 if single(zoom) else radius) << (finest - zoom)
+        if by and route_until is not None and zoom <= route_until:
+            cx = cy = F.lit(-1).cast("long")
+        else:
+            cx, cy = (F.floor(F.col(c) / (wide // width)).cast("long") for c in ("cx", "cy"))
+        cells, width = summed(cells.select("grupo", cx.alias("cx"), cy.alias("cy"), "puntos", "v", "n")), wide
+        out.append(cells.withColumn("zoom", F.lit(zoom)))
+    valor = F.col("v") if how == "sum" else F.coalesce(F.col("v") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    return stack(out).select("zoom", "grupo", "cx", "cy", "puntos", valor.alias("valor"))

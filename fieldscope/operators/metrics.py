@@ -66,9 +66,23 @@ def _span(start: str, end: str) -> Column:
     return day_span(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def order_kpis(df: DataFrame, start: str, end: str, on_time: bool = True) -> DataFrame:
-    """Key figures of the orders of a period, those without a position included. A mean over nothing is 0."""
-    aggs = [F.countDistinct("barrio").alias("barrios"), F.count("*").alias("total")]
+def point_state(df: DataFrame, keys: Sequence[str] = POINT_ROUTE, **more: Column) -> DataFrame:
+    """Everything that a map's layers need, by point: ``cantidad`` rows and what ``more`` aggregates; null keys stay."""
+    return df.groupBy(*keys).agg(F.count("*").alias("cantidad"), *[c.alias(name) for name, c in more.items()])
+
+
+def on_map(state: DataFrame, value: str, keys: Sequence[str] = POINT_ROUTE) -> DataFrame:
+    """``points`` or ``debt_points`` from a state."""
+    return state.dropna(subset=list(keys)).select(*keys, value)
+
+
+def order_kpis(df: DataFrame, start: str, end: str, on_time: bool = True, rows: str | None = None) -> DataFrame:
+    """Key figures of the orders of a period, those without a position included. A mean over nothing is 0.
+
+    rows: a column that says for how many orders a row stands (``point_state``); else each stands for itself.
+    """
+    total = F.coalesce(F.sum(rows), F.lit(0)) if rows else F.count("*")
+    aggs = [F.countDistinct("barrio").alias("barrios"), total.alias("total")]
     if on_time:
         aggs.append(F.coalesce(F.sum("pedido_a_tiempo"), F.lit(0)).alias("a_tiempo"))
     row = df.agg(*aggs).withColumn("dias", _span(start, end))
@@ -83,25 +97,32 @@ def order_kpis(df: DataFrame, start: str, end: str, on_time: bool = True) -> Dat
     return row.select(*columns)
 
 
-def event_kpis(df: DataFrame, start: str, end: str) -> DataFrame:
-    return order_kpis(df, start, end, on_time=False)
+def event_kpis(df: DataFrame, start: str, end: str, rows: str | None = None) -> DataFrame:
+    return order_kpis(df, start, end, on_time=False, rows=rows)
+
+
+def debt_state(df: DataFrame) -> DataFrame:
+    """``point_state`` of debts: sums, rows, first and last sale."""
+    return point_state(df, valor_mora=F.sum("valor_mora"), desde=F.min("fecha_venta"), hasta=F.max("fecha_venta"))
 
 
-def debt_kpis(df: DataFrame) -> DataFrame:
+def debt_kpis(df: DataFrame, summed: bool = False) -> DataFrame:
     """Debt on the map and in all, areas, rows, and means per area and per day of the sale dates' span.
 
-    The map's total leaves out rows with a null point key; the other figures are over all rows.
+    The map's total leaves out rows with a null point key; the other figures are over all rows. summed: ``df`` is
+    a ``debt_state`` already.
     """
+    state = df if summed else debt_state(df)
     on_map = F.lit(True)
     for key in POINT_ROUTE:
         on_map = on_map & F.col(key).isNotNull()
     zero = F.lit(0).cast("decimal(28,2)")
-    row = df.agg(
+    row = state.agg(
         F.coalesce(F.sum(F.when(on_map, F.col("valor_mora"))), zero).alias("total_mora"),
         F.coalesce(F.sum("valor_mora"), zero).alias("total_mora_all"),
         F.countDistinct("barrio").alias("barrios"),
-        F.count("*").alias("filas"),
-        F.coalesce(day_span(F.min("fecha_venta"), F.max("fecha_venta")), F.lit(0)).alias("dias"),
+        F.coalesce(F.sum("cantidad"), F.lit(0)).alias("filas"),
+        F.coalesce(day_span(F.min("desde"), F.max("hasta")), F.lit(0)).alias("dias"),
     )
     total = F.col("total_mora").cast("double")
     return row.select(

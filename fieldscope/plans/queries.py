@@ -279,13 +279,23 @@ def _menus(t: Tables) -> DataFrame:
     return conform.stack([df.select(F.lit(name).alias("menu"), F.col(df.columns[0]).alias("value")) for name, df in found.items()])
 
 
-def _collection(t: Tables, features: DataFrame, name: str) -> str:
-    """A FeatureCollection of a column ``f``, one file."""
-    whole = features.agg(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))
-    whole.select(F.to_json(F.struct("type", "features"))).coalesce(1).write.text(path := _place(t, name))
+def _lines(t: Tables, features: DataFrame, name: str) -> str:
+    """Features of a column ``f``, one a line."""
+    features.select(F.to_json("f")).write.text(path := _place(t, name))
     return path
 
 
+#: Every JDBC source of a run is a database of its own in the driver's memory.
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _jdbc(t: Tables) -> DataFrame:
+    """Orders written to a database and read back in ranges of their ids' quantiles."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    t.pedidos.select("id", "id_contacto", "id_barrio").coalesce(1).write.format("jdbc").options(url=url, dbtable="pedidos", batchsize=10_000, **DERBY).save()
+    return readers.read_jdbc(t.spark, url, "pedidos", "id", **DERBY)
+
+
 def _features(t: Tables) -> DataFrame:
     """The box of each neighbourhood's samples as a polygon, written as GeoJSON and read back."""
     box = _samples(t).groupBy("barrio").agg(*[of(c).alias(f"{of.__name__}_{c}") for of in (F.min, F.max) for c in (LAT, LON)])
@@ -293,19 +303,20 @@ def _features(t: Tables) -> DataFrame:
     ring = F.array(corner("min", "min"), corner("max", "min"), corner("max", "max"), corner("min", "max"), corner("min", "min"))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     f = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("barrio").alias("NOMBRE")).alias("properties"), geometry.alias("geometry"))
-    found = readers.read_features(t.spark, _collection(t, box.select(f.alias("f")), "features"))
+    found = readers.read_features(t.spark, _lines(t, box.select(f.alias("f")), "features"))
     return found.select("name", F.col("position").alias("ring_position"), "latitud", "longitud")
 
 
 def _zones(t: Tables) -> DataFrame:
     """Route zones with their neighbourhoods' names, written as GeoJSON and read back."""
     zones = _contact_places(t).where("nom_ruta is not null").groupBy("nom_ruta").agg(F.collect_set("barrio").alias("barrios"))
-    f = F.struct(F.struct(F.col("nom_ruta").alias("nombre"), "barrios").alias("properties"))
-    return readers.route_zone_barrios(t.spark, _collection(t, zones.select(f.alias("f")), "zones"))
+    f = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("nom_ruta").alias("nombre"), "barrios").alias("properties"))
+    return readers.route_zone_barrios(t.spark, _lines(t, zones.select(f.alias("f")), "zones"))
 
 
 # --- sources, sinks, projections ------------------------------------------------------------------------------------
 
+query("src_jdbc", "select id, id_contacto, id_barrio from {pedidos}", _jdbc)
 query("src_coords", f"select id_barrio, barrio, {ROUND_POINT}, ruta_cobro, nom_ruta from {{contactos}} n join {{coords}} k using (id_barrio)",
       lambda t: readers.read_coords(t.spark, _csv(t, _contact_places(t), "coords")))
 query("src_menus", " union all ".join(f"select distinct '{menu}' menu, {column} as value from {{contactos}} n join {{coords}} k using (id_barrio) where {column} is not null"
@@ -548,6 +559,56 @@ for _name, _v in (("coverage_map", "cobertura"), ("contactability_map", "contact
         "kpi": f"select count(distinct barrio) barrios, round(avg({_v}), 6) promedio from {{densidades}}",
     }, lambda t, v=_v: maps.density_map(t, v))
 
+# The density maps of one city, and the key figures of all cities at once.
+CITY_DENSITIES = "select * from {densidades} where barrio in (select b.barrio from {barrios} b join {ciudades} c on c.id = b.id_ciudad where c.id_centroope = 4)"
+for _name, _v in (("coverage_map", "cobertura"), ("contactability_map", "contactabilidad"), ("effectiveness_map", "efectividad")):
+    _parts(f"{_name}_city", {
+        "points": f"select {ROUND_POINT}, barrio, round({_v}, 6) valor from ({CITY_DENSITIES}) d where latitud is not null and longitud is not null",
+        "heat": layer_sql(DENSITY_HEAT["power" if _v == "cobertura" else "minmax"].format(v=_v).replace("select * from {densidades}", CITY_DENSITIES), "peso"),
+        "kpi": f"select count(distinct barrio) barrios, round(avg({_v}), 6) promedio from ({CITY_DENSITIES}) d",
+    }, lambda t, v=_v: maps.density_map(t, v, centre=4))
+query("density_batch", "select ciudad, indicador, count(distinct barrio) barrios, round(avg(v), 6) promedio from ("
+      + " union all ".join(f"select c.ciudad, d.barrio, '{v}' indicador, d.{v} v from {{densidades}} d join {{barrios}} b on b.barrio = d.barrio join {{ciudades}} c on c.id = b.id_ciudad" for v in maps.INDICATORS)
+      + ") u group by ciudad, indicador", maps.density_batch)
+
+# --- agents' days, zones' loads, contacts nearer to another route ---------------------------------------------------
+
+#: Minutes: the agents at hand make a stop every hour or two.
+EVENT_PAUSE = 90
+STOPS_SQL = f"""with s as (select id_autor, cast(fecha_evento as date) dia, idEvento, fecha_evento, epoch_us(fecha_evento) us, {LAT} lat, {LON} lon from {{eventos}}
+ where id_evento_tipo in (15, 10, 12, 14, 53, 63, 46) and {LAT} <> 0 and {LON} <> 0 and id_autor is not null
+ and fecha_evento between timestamp '{EVENTS.start} 00:00:00' and timestamp '{EVENTS.end} 23:59:59'),
+ g as (select *, case when us - lag(us) over (partition by id_autor, dia order by fecha_evento, idEvento) >= {EVENT_PAUSE} * 60000000 then 1 else 0 end nuevo from s),
+ h as (select *, cast(sum(nuevo) over (partition by id_autor, dia order by fecha_evento, idEvento rows unbounded preceding) + 1 as int) tramo from g),
+ r as (select *, cast(row_number() over w as int) orden, lead(lat) over w lat_sig, lead(lon) over w lon_sig, (lead(us) over w - us) / 60e6 minutos
+ from h window w as (partition by id_autor, dia, tramo order by fecha_evento, idEvento))"""
+query("agent_routes", f"{STOPS_SQL} select id_autor, dia, tramo, orden, idEvento, fecha_evento, round(lat, 6) lat, round(lon, 6) lon, round(lat_sig, 6) lat_sig, round(lon_sig, 6) lon_sig, round(minutos, 6) minutos, {CLASS_SQL} clase "
+      f"from (select *, case when {ANGLE_SQL} < 0 then {ANGLE_SQL} + 360 else {ANGLE_SQL} end a from r) b", lambda t: maps.agent_routes(t, EVENTS, EVENT_PAUSE))
+query("agent_legs", f"{STOPS_SQL} select id_autor, dia, tramo, count(*) paradas, min(fecha_evento) inicio, max(fecha_evento) fin, round(coalesce(sum(minutos), 0), 6) minutos, "
+      "round(coalesce(sum(sqrt((lat_sig - lat) * (lat_sig - lat) + (lon_sig - lon) * (lon_sig - lon))), 0), 6) recorrido from r group by id_autor, dia, tramo", lambda t: maps.agent_legs(t, EVENTS, EVENT_PAUSE))
+
+
+def overload_sql(base: str, ts: str) -> str:
+    return f"""with d as (select barrio, cast({ts} as date) fecha, cast(count(*) as double) carga from ({base}) f where barrio is not null and {ts} is not null group by 1, 2),
+ p as (select *, list(carga) over (partition by barrio order by fecha rows between 30 preceding and 1 preceding) past from d),
+ m as (select *, cast(coalesce(len(past), 0) as int) dias, list_median(past) mediana from p),
+ q as (select *, list_median(list_transform(past, lambda x: abs(x - mediana))) mad from m)
+ select barrio, fecha, carga, dias, mediana, mad, round((carga - mediana) / nullif(mad * 1.4826e0, 0), 6) desvio,
+ case when dias >= 5 and carga - mediana > 3.0e0 * 1.4826e0 * mad then 1 else 0 end sobrecarga from q"""
+
+
+_parts("zone_loads", {"visits": overload_sql(VISITS_SQL, "fecha_evento"), "orders": overload_sql(ORDERS_SQL, "fecha_pedido")},
+       lambda t: {"visits": maps.zone_loads(t, EVENTS)["visits"], "orders": maps.zone_loads(t, ORDERS)["orders"]})
+query("misassigned_contacts", f"""with e as (select id_contacto, sum(cast(round({LAT} * 100000) as bigint)) y, sum(cast(round({LON} * 100000) as bigint)) x, count(*) n
+ from {{eventos}} where {LAT} <> 0 and {LON} <> 0 and fecha_evento between timestamp '{EVENTS.start} 00:00:00' and timestamp '{EVENTS.end} 23:59:59' group by id_contacto),
+ r as (select e.*, k.nom_ruta from e join {{contactos}} c on c.id = e.id_contacto join {{coords}} k on k.id_barrio = c.id_barrio where k.nom_ruta is not null),
+ p as (select id_contacto, nom_ruta, round(cast(y as double) / n / 100000, 9) la, round(cast(x as double) / n / 100000, 9) lo from r),
+ z as (select nom_ruta, round(cast(sum(y) as double) / sum(n) / 100000, 9) la, round(cast(sum(x) as double) / sum(n) / 100000, 9) lo from r group by nom_ruta),
+ v as (select p.id_contacto, p.nom_ruta, z.nom_ruta cercana, sqrt((p.la - z.la) * (p.la - z.la) + (p.lo - z.lo) * (p.lo - z.lo)) d from p, z),
+ b as (select *, row_number() over (partition by id_contacto order by d, cercana) rn from v)
+ select b.id_contacto, b.nom_ruta, b.cercana, round(o.d, 6) distancia, round(b.d, 6) distancia_cercana from b join v o on o.id_contacto = b.id_contacto and o.cercana = b.nom_ruta
+ where b.rn = 1 and round(b.d, 9) < round(o.d, 9)""", lambda t: maps.misassigned_contacts(t, EVENTS))
+
 
 def _stats_twins(base: str, ts: str, least: int) -> dict[str, str]:
     return {"barrios": top_sql(base, "barrio", 10), "trend": trend_sql(daily_sql(base, ts), least), "estratos": shares_sql(base, "id_estrato", "0")}
