@@ -6,9 +6,11 @@ Paragraphs are cut in two ways, both over whole texts:
   that collide are near if their exact Jaccard similarity is at least THRESHOLD; components cluster them.
 * every stretch of GRAM + WINDOW - 1 = LEAST words, whatever the lines. Its shingles of GRAM words have one
   band of one min-hash, so that equal stretches always collide (neighbours mostly share their min-hash, which
-  keeps about two in WINDOW). Collisions are verified word by word: each kept shingle carries REACH words on
-  either side, two bits a word. Neighbouring collisions at one shift join if at most CHANGED words between them
-  differ; a run of LEAST words of which THRESHOLD are equal is a repeated passage.
+  keeps about two in WINDOW). Stretches whose min-hash collides are then told apart by a hash of all their LEAST
+  words: every occurrence of a stretch meets all others, and runs of neighbouring stretches that stand elsewhere
+  too are the repeated passages, clustered by components. Passages with changed words: neighbouring collisions
+  at one shift, compared word by word (REACH words on either side of a shingle), join if at most CHANGED words
+  between them differ; a run of LEAST words of which THRESHOLD are equal is a repeat.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ _KEPT_WORDS = 1_000_000
 
 ROW = ("k", "none", "row")
 ROW_SCHEMA = "k long, none boolean, row long"
-UNIT_SCHEMA = f"{ROW_SCHEMA}, unit int, piece boolean, n_words int, class long, left long, right long, bands array<long>"
+UNIT_SCHEMA = f"{ROW_SCHEMA}, unit int, piece boolean, n_words int, class long, bands array<long>"
 _UNIT_NAMES = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
 
 
@@ -79,8 +81,8 @@ def _class(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def gram_hashes(hashes: np.ndarray) -> np.ndarray:
-    """A hash per run of GRAM words: hashes of 2, 4, 8 and 16 words, then of two overlapping runs of 16."""
+def gram_hashes(hashes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash per run of ``gram`` words: hashes of 2, 4, 8 words and so on, then of two overlapping runs of them."""
 
     def two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0xD6E8FEB86659FD93))
@@ -88,9 +90,9 @@ def gram_hashes(hashes: np.ndarray) -> np.ndarray:
         return out ^ (out >> np.uint64(31))
 
     size = 1
-    while 2 * size <= GRAM:
+    while 2 * size <= gram:
         hashes, size = two(hashes[: len(hashes) - size], hashes[size:]), 2 * size
-    return two(hashes[: len(hashes) - (GRAM - size)], hashes[GRAM - size :])
+    return two(hashes[: len(hashes) - (gram - size)], hashes[gram - size :])
 
 
 def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -109,24 +111,41 @@ def picked(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(grams == _slide(np.concatenate([pad, least, pad]), width, np.maximum))
 
 
-def _ahead(codes: np.ndarray) -> np.ndarray:
-    """At each word the two-bit codes of the next REACH words, itself first, and above them how many there are."""
-    n, size = len(codes), 1
-    out = np.concatenate([codes, np.zeros(REACH, np.uint64)])
-    while 2 * size <= REACH:
-        out, size = out[: len(out) - size] | (out[size:] << np.uint64(2 * size)), 2 * size
-    step = REACH - size
-    out = out[: len(out) - step] | (out[step:] << np.uint64(2 * step))
-    there = np.minimum(np.arange(n, 0, -1), REACH).astype(np.uint64)
-    return np.append(out[:n] & np.uint64((1 << 2 * REACH) - 1) | (there << np.uint64(2 * REACH)), np.uint64(0))
+def pieces_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the kept shingles of a text."""
+    grams = gram_hashes(hashes)
+    at = picked(grams)
+    return at, grams[at].view(np.int64)
+
+
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Of rows of words: a hash of the first word, of the first two, and so on."""
+    held, out = np.full(len(words), 0x2545F491, np.uint64), np.empty(words.shape, np.int32)
+    for i in range(words.shape[1]):
+        held = (held ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        held ^= held >> np.uint64(29)
+        out[:, i] = (held >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
+
 
+def around(hashes: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The REACH words before and behind the shingles at ``at``, nearest first, as hashes of ever more words.
 
-def pieces_of(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the kept shingles of a text: positions, hashes, and the words before and behind as codes."""
+    Beyond a text's ends stand words of no text.
+    """
+    pad = np.random.default_rng(seed & ((1 << 63) - 1)).integers(0, 1 << 63, 2 * REACH, dtype=np.uint64)
+    long = np.concatenate([pad[:REACH], hashes, pad[REACH:]])
+    steps = np.arange(1, REACH + 1)
+    return _prefixes(long[at[:, None] + REACH - steps]), _prefixes(long[at[:, None] + REACH + GRAM - 1 + steps])
+
+
+def stretches(hashes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the stretches of LEAST words whose min-hash shingle is one of those at ``often``."""
+    if len(hashes) < LEAST:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     grams = gram_hashes(hashes)
-    at, codes = picked(grams), (hashes >> np.uint64(40)) & np.uint64(3)
-    left = _ahead(codes[::-1])[::-1]  # the words ahead of position i stand at i
-    return at, grams[at].view(np.int64), left[at].view(np.int64), _ahead(codes)[at + GRAM].view(np.int64)
+    at = np.flatnonzero(np.isin(_slide(grams, WINDOW, np.minimum), grams[often]))
+    return at, gram_hashes(hashes, LEAST)[at].view(np.int64)
 
 
 def lines_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -164,7 +183,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def text_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The lines and pieces of every row; unit: number of the first word. Bands for lines, neighbours for pieces."""
+    """The lines and pieces of every row; unit: number of the first word. Bands for lines; n_words of a piece: its text's."""
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,17 +195,17 @@ def text_units(docs: DataFrame, key: str, text: str) -> DataFrame:
                         shingles.append(shingle_array(hashes))
                     words = whole.lower().split()
                     if len(words) >= GRAM:
-                        where, *rest = pieces_of(word_hashes(words))
-                        parts.append((np.full(len(where), i), where, *rest))
+                        where, grams = pieces_of(word_hashes(words))
+                        parts.append((np.full(len(where), i), where, np.full(len(where), len(words)), grams))
                 if parts:
-                    of, unit, grams, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    of, unit, size, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
                     frame = some[list(ROW)].iloc[of].reset_index(drop=True)
                     bands = pd.Series([None] * len(frame), dtype=object)
-                    yield frame.assign(unit=unit, piece=True, n_words=GRAM, **{"class": grams}, left=left, right=right, bands=bands)
+                    yield frame.assign(unit=unit, piece=True, n_words=size, **{"class": grams}, bands=bands)
                 if lines:
                     of, unit, size, classes = zip(*lines, strict=True)
                     frame = some[list(ROW)].iloc[list(of)].reset_index(drop=True)
-                    frame = frame.assign(unit=unit, piece=False, n_words=size, **{"class": classes}, left=0, right=0)
+                    frame = frame.assign(unit=unit, piece=False, n_words=size, **{"class": classes})
                     yield frame.assign(bands=list(_bands(shingles)))
 
     return _rows(docs, key, text).mapInPandas(per_batch, UNIT_SCHEMA)
@@ -333,7 +352,7 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     rows = lines.join(named, "class")
     same = _place() == F.col("first")
     whole = rows.select(*ROW, F.lit(False).alias("piece"), "unit", "n_words", "first", (~same).alias("removed"))
-    return whole.union(_repeated_runs(units, within)).select(
+    return whole.union(_repeated_runs(units, docs, key, text, within)).select(
         restored(key), "piece", F.col("unit").alias("start_word"), "n_words",
         F.when(~F.col("first.none"), F.col("first.k")).alias("component_doc"), F.col("first.unit").alias("component_word"),
         "removed", F.col("row").alias("text_id"),
@@ -342,16 +361,92 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
 
 def _equal_words(a: Column, b: Column) -> Column:
     """How many words next to two shingles agree."""
-    codes = a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 2 * REACH) - 1))
-    low = F.bit_count(codes.bitwiseAND(-codes) - 1)  # zeros below the lowest bit; 64 if there is no bit
-    return F.least((low / 2).cast("int"), F.shiftright(a, 2 * REACH).cast("int"), F.shiftright(b, 2 * REACH).cast("int"))
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
 
+def _surroundings(pieces: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Of texts with shingles of ``pieces``: (k, none, row, unit, class, stretch, left, right), a written table.
+
+    A row per such shingle with the words around it, and one per stretch of LEAST words whose min-hash it is.
+    """
+    per_row = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.collect_list("unit").alias("wanted"))
+    rows = _rows(docs, key, text).join(per_row, [F.col(c) == F.col(f"_{c}") for c in ROW]).dropDuplicates(list(ROW))
+    schema = f"{ROW_SCHEMA}, unit int, class long, stretch boolean, left array<int>, right array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def _repeated_runs(units: DataFrame, within: bool) -> DataFrame:
-    """The repeated passages: (k, none, row, piece, unit, n_words, first, removed)."""
-    pieces = units.where("piece").select(*ROW, "unit", "class", "left", "right")
-    often = cut(pieces.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
-    pieces = stored(pieces.join(often, "class", "left_semi"))
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, none, row, whole, wanted in batch.itertuples(index=False):
+                hashes, at = word_hashes(whole.lower().split()), np.sort(np.asarray(wanted, np.int64))
+                left, right = around(hashes, at, row)
+                frame = pd.DataFrame({"unit": at, "class": gram_hashes(hashes)[at].view(np.int64), "left": list(left), "right": list(right)})
+                yield frame.assign(k=k, none=none, row=row, stretch=False)[names]
+                at, found = stretches(hashes, at)
+                empty = pd.Series([None] * len(at), dtype=object)
+                yield pd.DataFrame({"unit": at, "class": found}).assign(k=k, none=none, row=row, stretch=True, left=empty, right=empty)[names]
+
+    return stored(rows.select(*ROW, "t", "wanted").mapInPandas(per_batch, schema))
+
+
+def _runs(*found: DataFrame) -> DataFrame:
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _repeated_runs(units: DataFrame, docs: DataFrame, key: str, text: str, within: bool) -> DataFrame:
+    """The repeated passages: (k, none, row, piece, unit, n_words, first, removed).
+
+    Of equal texts the first one stands for all; the others are one removed passage each.
+    """
+    pieces = units.where("piece").select(*ROW, "unit", "n_words", "class").distinct()
+    texts = pieces.select(*ROW, "n_words").distinct()
+    owners = cut(texts.groupBy("row").agg(F.min(F.struct("none", "k")).alias("own"), F.count("*").alias("copies")))
+    texts = texts.join(owners, "row").where((F.col("copies") > 1) & (F.col("n_words") >= LEAST))
+    first = F.struct(F.col("own.none").alias("none"), F.col("own.k").alias("k"), "row", F.lit(0).alias("unit"))
+    equal = texts.select(
+        *ROW, F.lit(True).alias("piece"), F.lit(0).alias("unit"), "n_words", first.alias("first"), (F.struct("none", "k") != F.col("own")).alias("removed")
+    )
+    owned = pieces.join(owners.select("row", "own.none", "own.k"), list(ROW))
+    often = cut(owned.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
+    table = _surroundings(owned.join(often, "class", "left_semi"), docs, key, text)
+    near = cut(_near_runs(table.where("not stretch").drop("stretch"), within))
+    exact = _exact_runs(table.where("stretch").select(*ROW, "unit", "class"), within)
+    # A passage with changed words shows the equal runs in it.
+    spans = near.select(*[F.col(c).alias(f"_{c}") for c in (*ROW, "unit", "n_words", "removed")])
+    inside = (F.col("unit") >= F.col("_unit")) & (F.col("unit") + F.col("n_words") <= F.col("_unit") + F.col("_n_words"))
+    same = [F.col(c) == F.col(f"_{c}") for c in (*ROW, "removed")]
+    exact = exact.join(spans, [*same, inside], "left_anti")
+    return _runs(equal, near, exact)
+
+
+def _exact_runs(found: DataFrame, within: bool) -> DataFrame:
+    """Runs of stretches that stand elsewhere too. A stretch is removed unless it is the first of its class, by key
+    and place; runs that share a class are a cluster."""
+    ends = found.groupBy("class").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+    elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
+    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere).select("class", "first"))
+    own, shift = F.struct("none", "k", "row") == _row_of("first"), F.col("unit") - F.col("first.unit")
+    rows = found.join(ends, "class").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
+    rows = rows.select(*ROW, "unit", "class", (~own | (shift != 0)).alias("removed"))
+    order = Window.partitionBy(*ROW, "removed").orderBy("unit")
+    step = F.col("unit") - F.lag("unit").over(order)
+    rows = rows.withColumn("_from", F.when(step.isNull() | (step != 1), F.col("unit")))
+    rows = rows.withColumn("start", F.max("_from").over(order))
+    rows = stored(rows.select(*ROW, "unit", "class", "removed", "start", F.xxhash64(*ROW, "removed", "start").alias("run")))
+    firsts = rows.where("not removed").groupBy("class").agg(F.min("run").alias("kept"))
+    links = rows.where("removed").join(firsts, "class").select("run", "kept").distinct()
+    clusters = connected_components(links, "run", "kept").withColumnRenamed("node", "run")
+    runs = rows.groupBy(*ROW, "removed", "start", "run").agg(F.count("*").alias("n")).join(clusters, "run")
+    runs = cut(runs.select(*ROW, "removed", F.col("start").alias("unit"), (F.col("n") + LEAST - 1).cast("int").alias("n_words"), "component"))
+    firsts = runs.groupBy("component").agg(F.min(F.struct("removed", _place().alias("at"))).alias("first"))
+    runs = runs.join(firsts.select("component", F.col("first.at").alias("first")), "component")
+    return runs.select(*ROW, F.lit(True).alias("piece"), "unit", "n_words", "first", "removed")
+
+
+def _near_runs(pieces: DataFrame, within: bool) -> DataFrame:
+    """Passages with changed words, against the first text that shares a shingle (and the first against the last)."""
     place = _place("unit", "left", "right")
     ends = pieces.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
@@ -380,7 +475,8 @@ def _repeated_runs(units: DataFrame, within: bool) -> DataFrame:
     start, same = F.col("from") - F.col("l"), F.col("same") + F.col("l") + F.col("r")
     size = F.col("to") + GRAM + F.col("r") - start
     runs = runs.select(*by, start.alias("unit"), size.alias("n_words"), same.alias("same"))
-    runs = runs.where((F.col("n_words") >= LEAST) & (F.col("same") >= THRESHOLD * F.col("n_words")))
+    # Runs without a change are found whole by their stretches.
+    runs = runs.where((F.col("n_words") >= LEAST) & (F.col("same") >= THRESHOLD * F.col("n_words")) & (F.col("same") < F.col("n_words")))
     first = F.struct("of.none", "of.k", "of.row", (F.col("unit") - F.col("shift")).alias("unit"))
     return runs.select(*ROW, F.lit(True).alias("piece"), "unit", "n_words", first.alias("first"), "removed")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fieldscope.llm import chat, decontam, fingerprint, langid, lmscore, mixing, sharding, simhash, substring, toxicity
@@ -173,6 +174,51 @@ def test_every_passage_of_51_words(spark):
         assert sum(a == b for a, b in zip(held, other, strict=True)) >= len(held) - 3
 
 
+def grams_of(text, size=50):
+    w = (text or "").lower().split()
+    return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+
+
+def test_every_occurrence_of_a_passage_whole_or_in_part(spark):
+    """Whole passages of 51 to 200 words in two to five documents, fragments of 30 to 45 and of 55 in earlier ones."""
+    rng, texts, k = random.Random(24), {}, 0
+    for size in (51, 60, 80, 120, 200) * 3:
+        passage = words(rng, size, 90_000).split()
+        for at in range(0, size - 30, 12):
+            texts[k] = " ".join([words(rng, rng.randrange(20, 60), 90_000), *passage[at : at + rng.randrange(30, 46)], words(rng, 40, 90_000)])
+            k += 1
+        if size > 60:
+            texts[k] = " ".join([words(rng, 30, 90_000), *passage[3:58], words(rng, 40, 90_000)])
+            k += 1
+        for _ in range(rng.randrange(2, 6)):
+            texts[k] = " ".join([words(rng, rng.randrange(5, 90), 90_000), *passage, words(rng, rng.randrange(5, 90), 90_000)])
+            k += 1
+    found = substring.repeated_units(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).where("piece").collect()
+    where = {}
+    for d, t in texts.items():
+        for i, g in enumerate(grams_of(t)):
+            where.setdefault(g, []).append((d, i))
+    shared = {g: sorted(at) for g, at in where.items() if len({d for d, _ in at}) > 1}
+    spans = {}
+    for r in found:
+        spans.setdefault((r["doc_id"], r["removed"]), []).append((r["start_word"], r["start_word"] + r["n_words"], (r["component_doc"], r["component_word"])))
+    holds = lambda d, removed, i: {c for a, b, c in spans.get((d, removed), []) if a <= i and i + 50 <= b}
+    for at in shared.values():
+        clusters = holds(at[0][0], False, at[0][1])  # the first occurrence stays, all others go, in one cluster
+        assert clusters and all(holds(d, True, i) & clusters for d, i in at[1:])
+    covered = {(d, i) for at in shared.values() for d, i in at}
+    assert {(r["doc_id"], i) for r in found for i in range(r["start_word"], r["start_word"] + r["n_words"] - 49)} == covered
+
+
+def test_less_than_fifty_equal_words_are_no_passage(spark):
+    rng, texts = random.Random(25), {}
+    for case, size in enumerate(list(range(40, 50)) * 4):
+        passage = words(rng, size, 90_000)
+        for copy in range(2):
+            texts[2 * case + copy] = " ".join([words(rng, 60, 90_000), passage, words(rng, 60, 90_000)])
+    assert substring.repeated_units(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() == []
+
+
 def test_passages_with_changed_words(spark):
     """One word of 60 changed, anywhere but near the middle or the ends: most are found, as whole passages."""
     rng, texts = random.Random(14), {}
@@ -684,8 +730,59 @@ def test_large_keys_beside_nulls(spark):
     assert sorted((r["text"] for r in decontam.without_items(df, bench).collect())) == sorted(t for t in texts if t != texts[1])
 
 
+def flown(units, seed, leave):
+    """The flight of one block in plain Python: three undecided documents at a time along the vector that changes neither total."""
+    p, draws = [c for _, c in units], iter(np.random.default_rng(seed).random(len(units) + 1).tolist())
+    waiting, held = [i for i, c in enumerate(p) if 1e-9 < c < 1 - 1e-9], []
+    while True:
+        while waiting and len(held) < 3:
+            held.append(waiting.pop(0))
+        if len(held) < 3 or len(held) + len(waiting) <= leave:
+            return p
+        a, b, c = (float(units[i][0]) for i in held)
+        u = [c - b, a - c, b - a] if len({a, b, c}) > 1 else [1.0, -1.0, 0.0]
+        u = [x / max(map(abs, u)) for x in u]
+        up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(held, u, strict=True) if x)
+        down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(held, u, strict=True) if x)
+        step = up if next(draws) * (up + down) < down else -down
+        for i, x in zip(held, u, strict=True):
+            p[i] += step * x
+            p[i] = 0.0 if p[i] < 1e-9 else 1.0 if p[i] > 1 - 1e-9 else p[i]
+        held = [i for i in held if 0 < p[i] < 1]
+
+
+def landed(units, p):
+    """Every choice of the undecided tried in turn."""
+    left, tried = [i for i, c in enumerate(p) if 0 < c < 1], []
+    for bits in range(1 << len(left)):
+        pick = [bits >> j & 1 for j in range(len(left))]
+        documents = abs(sum(x - p[i] for i, x in zip(left, pick, strict=True)))
+        far = abs(sum(units[i][0] * x for i, x in zip(left, pick, strict=True)) - sum(units[i][0] * p[i] for i in left))
+        tried.append((round(documents, 6), round(far, 6), bits, pick))
+    most = max(min(t[1] for t in tried), mixing.NEAR * sum(n for n, _ in units))
+    best = min(t for t in tried if t[1] <= most)[3]
+    out = p[:]
+    for i, x in zip(left, best, strict=True):
+        out[i] = float(x)
+    return out
+
+
+def swapped(units, p):
+    """Every pair of a taken and another document tried in turn, while words are too far off."""
+    sizes, p = [n for n, _ in units], p[:]
+    want, near = sum(n * c for n, c in units), mixing.NEAR * sum(sizes)
+    for _ in range(mixing.LAND):
+        off = sum(n for n, x in zip(sizes, p, strict=True) if x) - want
+        tries = [(abs(off + sizes[j] - sizes[i]), i, j) for i, x in enumerate(p) if x == 1 for j, y in enumerate(p) if y == 0]
+        if abs(off) <= near or not tries or min(tries)[0] >= abs(off):
+            break
+        _, i, j = min(tries)
+        p[i], p[j] = 0.0, 1.0
+    return p
+
+
 def test_targets_and_flight_by_brute_force(spark):
-    """Every source's blocks flown again in plain Python give the copies that the query gives."""
+    """Every source's block flown and landed again in plain Python gives the copies that the query gives."""
     rng = random.Random(19)
     rows = [(i, words(rng, rng.randrange(0, 40)), rng.choice(["A", "b", None])) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -693,11 +790,35 @@ def test_targets_and_flight_by_brute_force(spark):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(t.split())
     want = targets_by_rounds(sizes)
-    found = mixing.mix(df).collect()
+    found = {r["doc_id"]: r for r in mixing.mix(df).collect()}
     for s in sizes:
-        mine = [r for r in found if r["source"] == s]
         rate = want[s] / sizes[s]
-        assert {r["copies"] for r in mine} <= {int(rate + 1e-9), int(rate + 1e-9) + 1}
-        # Words and documents of the sample stay within one document's of their expectation.
-        assert abs(sum(r["taken"] for r in mine) - want[s]) <= 40
-        assert abs(sum(r["copies"] for r in mine) - rate * len(mine)) <= 2.5
+        base = int(rate + 1e-9)
+        chance = max(rate - base, 0.0)
+        units = [(len(t.split()), 0.0 if chance < 1e-9 else chance) for _, t, o in rows if o == s]
+        p = swapped(units, landed(units, flown(units, zlib.crc32(f"{s}/0/0".encode()), mixing.LAND)))
+        got = [found[i]["copies"] for i, _, o in rows if o == s]
+        assert got == [base + int(x) for x in p]
+        assert abs(sum(c * n for c, (n, _) in zip(got, units, strict=True)) - want[s]) <= 0.01 * want[s]
+
+
+def test_sources_of_fifty_documents_come_near_their_targets(spark):
+    found = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    taken, target = {}, {}
+    for r in found:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 20 and all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
+def test_language_sample_is_bounded_and_never_empty(spark, monkeypatch):
+    """A language that is 20,000 copies of one text is learned from one of them."""
+    rng = random.Random(31)
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 40)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda windows, labels, langs: seen.update(n=np.bincount(labels), langs=langs) or langid.Model(langs))
+    rows = [(i, "la misma frase de siempre", "es") for i in range(20_000)] + [(30_000 + i, words(rng, 30), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.learn(docs, "text", "lang", langid.held_out(F.col("doc_id")))
+    assert seen["langs"] == ["en", "es"] and seen["n"].tolist() == [40 * langid.TRAIN_WINDOWS, langid.TRAIN_WINDOWS]
+
