@@ -3,7 +3,8 @@
 Each source gets a target of words; its rate is target / size. Every document is taken floor(rate) times and
 once more with probability frac(rate), by a sample balanced on words and on documents: the flight phase moves
 fractional probabilities along vectors that change neither total, three documents at a time, until at most
-two of a block are undecided. Those of all blocks of a source meet in further rounds; the last one lands.
+two of a block are undecided. Those of all blocks of a source meet in further rounds; the last one stops with
+LAND undecided and lands them: of all their choices near enough in words the one that keeps the number of documents.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Documents that one flight holds about.
 BLOCK = 2_000
+#: Documents that a source lands, out of 2^LAND choices.
+LAND = 12
+#: Share of a block's words that a landing may be off for the sake of the number of documents.
+NEAR = 0.0025
 _EPS = 1e-9
 
 
@@ -29,8 +34,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def flight(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
-    """Chances after the flight phase: all 0 or 1 but at most two; sum and size-weighted sum stay."""
+def flight(size: np.ndarray, chance: np.ndarray, seed: int, leave: int = 2) -> np.ndarray:
+    """Chances after the flight phase: all 0 or 1 but at most ``leave`` (two or more); sum and size-weighted sum stay."""
     p = chance.astype(np.float64).copy()
     draws = iter(np.random.default_rng(seed).random(len(p) + 1).tolist())
     todo = np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist()[::-1]
@@ -40,7 +45,7 @@ def flight(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
     while True:
         while todo and len(held) < 3:
             held.append(todo.pop())
-        if len(held) < 3:
+        if len(held) < 3 or len(held) + len(todo) <= leave:
             break
         i, j, k = held
         u = (float(x[k] - x[j]), float(x[i] - x[k]), float(x[j] - x[i]))
@@ -66,16 +71,33 @@ def flight(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decide the last undecided ones: of all choices the one nearest in words, then in documents."""
+    """Decide the last undecided ones: of all choices within NEAR of all words (or of the nearest one, if none is) the
+    one that keeps the number of documents best, then words."""
     p = chance.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
-    best = None
-    for bits in range(1 << len(left)):
-        pick = np.array([(bits >> i) & 1 for i in range(len(left))], dtype=float)
-        off = (abs(float(size[left] @ (pick - chance[left]))), abs(float((pick - chance[left]).sum())), bits)
-        if best is None or off < best[0]:
-            best = (off, pick)
-    p[left] = best[1]
+    picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    documents = np.abs((picks - chance[left]).sum(axis=1))
+    far = np.round(np.abs(picks @ size[left].astype(np.float64) - float(size[left] @ chance[left])), 6)
+    keep = np.flatnonzero(far <= max(far.min(), NEAR * float(size.sum())))
+    p[left] = picks[keep[np.lexsort((far[keep], np.round(documents[keep], 6)))[0]]]
+    return p
+
+
+def repaired(size: np.ndarray, picked: np.ndarray, want: float) -> np.ndarray:
+    """Where one document weighs more than all that landed, words may still be off by more than NEAR: then a taken
+    document is swapped for another, the pair that helps most first, LAND times at most."""
+    p = picked.copy()
+    for _ in range(LAND):
+        off = float(size @ p) - want
+        on, out = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if abs(off) <= NEAR * float(size.sum()) or not len(on) or not len(out):
+            break
+        far = np.abs(off + (size[out][None, :] - size[on][:, None]))
+        best = int(far.argmin())
+        if far.flat[best] >= abs(off):
+            break
+        i, j = divmod(best, len(out))
+        p[on[i]], p[out[j]] = 0.0, 1.0
     return p
 
 
@@ -86,9 +108,10 @@ def _block_flight(columns: list[str], round_: int):
         group = group.sort_values(["none", "k", "row", "nth", "size"], kind="stable").reset_index(drop=True)
         name = f"{group['source'].iloc[0]}/{group['block'].iloc[0]}/{round_}"
         size = group["size"].to_numpy()
-        p = flight(size, group["chance"].to_numpy(), zlib.crc32(name.encode("utf-8", "surrogatepass")))
-        if group["blocks"].iloc[0] == 1:
-            p = landing(size, p)
+        last = group["blocks"].iloc[0] == 1
+        p = flight(size, group["chance"].to_numpy(), zlib.crc32(name.encode("utf-8", "surrogatepass")), LAND if last else 2)
+        if last:
+            p = repaired(size, landing(size, p), float(size @ group["chance"].to_numpy()))
         group["chance"] = p
         return group[columns]
 
