@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.llm.keys import carried, restored
 
 UND, PAD = "und", 256
 CORE, CONTEXT = 224, 32
-#: Bounds of the training sample: documents per language (expected), windows per document, and languages (the most frequent).
+#: Bounds of the training sample: different texts per language, windows per text, and languages (the most frequent).
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LANGS = 1_000, 4, 256
 WINDOW, HIDDEN, STEPS, BATCH, SEED = 64, 8, 400, 128, 20
 #: Rows that run together.
@@ -198,16 +198,19 @@ def has_letter(text: str) -> bool:
 
 
 def learn(docs: DataFrame, text: str, lang: str, fold: Column) -> Model:
-    """Fit on windows of a bounded sample: about TRAIN_DOCS documents a language, TRAIN_WINDOWS places in each.
+    """Fit on windows of a bounded sample: TRAIN_DOCS different texts a language at most, TRAIN_WINDOWS places in each.
 
     Only rows outside ``fold`` with a language and a text are read, of the TRAIN_LANGS most frequent languages.
-    Sample membership and places depend on the text's hash alone. Without such rows the model has no language.
+    Of a language's texts those of the smallest hashes are taken, copies once: so however often a text repeats, the
+    sample is bounded, and every language has one. Without such rows the model has no language.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), fold.alias("f"))
     rows = rows.where(~F.col("f") & F.col("l").isNotNull() & (F.col("t") != "")).select("t", "l")
     # At most TRAIN_LANGS rows.
     often = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(TRAIN_LANGS)
-    share = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(TRAIN_DOCS * 1e6) / F.col("n")
+    named = rows.join(F.broadcast(often.select("l")), "l").withColumn("h", F.xxhash64("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = named.select("l", "h").distinct().withColumn("place", place).where(F.col("place") <= TRAIN_DOCS).select("l", "h")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,7 +224,8 @@ def learn(docs: DataFrame, text: str, lang: str, fold: Column) -> Model:
             if out:
                 yield pd.DataFrame(out, columns=["l", "w"])
 
-    drawn = rows.join(F.broadcast(often), "l").where(share).select("t", "l")
+    # At most TRAIN_LANGS x TRAIN_DOCS hashes.
+    drawn = named.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).select("t", "l")
     sample = drawn.mapInPandas(windows, "l string, w binary").toPandas().sort_values(["l", "w"])
     langs = sorted(set(sample["l"]))
     if not langs:
