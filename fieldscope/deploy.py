@@ -17,9 +17,11 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Give Python workers this package and small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Give Python workers this package, and small batches where the session says nothing of their size."""
+    given = spark._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not given.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     ship(spark)
 
 

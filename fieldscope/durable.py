@@ -21,6 +21,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of tables that ``stored`` and ``folder`` made, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared checkpoint folder, to go with ``clear``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all queries so far, once their results are consumed; how many folders there were."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        discard(spark, path)
+    return len(made)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -29,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there: packed, and by column."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

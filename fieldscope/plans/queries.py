@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.durable import ensure_checkpoint_dir
+from fieldscope.durable import folder
 from fieldscope.functions.scalar import bearing, bearing_class, day_span, normalise_city, zoom_radius
 from fieldscope.operators import conform, filters, joins, layers, metrics, spatial, trends
 from fieldscope.plans import bases, maps
@@ -240,7 +240,7 @@ def _invoices(t: Tables) -> DataFrame:
 
 
 def _place(t: Tables, name: str) -> str:
-    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return folder(t.spark, name)
 
 
 def _csv(t: Tables, df: DataFrame, name: str) -> str:

@@ -4,11 +4,13 @@ import datetime as dt
 import json
 import math
 import statistics
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldscope import durable
 from fieldscope.operators import layers, metrics, sessions, spatial, trends
 from fieldscope.operators.components import connected_components
 from fieldscope.plans import maps
@@ -215,3 +217,14 @@ def test_states_keep_what_the_layers_need(spark):
     assert sorted(map(tuple, metrics.on_map(state, "cantidad").collect())) == sorted(map(tuple, metrics.points(df).collect()))
     assert metrics.order_kpis(state, "2024-01-01", "2024-01-02", rows="cantidad").first() == metrics.order_kpis(df, "2024-01-01", "2024-01-02").first()
     assert metrics.order_kpis(state.limit(0), "2024-01-01", "2024-01-02", rows="cantidad").first()["total"] == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    durable.clear(spark)
+    table = durable.stored(spark.range(5).toDF("v"))
+    with durable.scratch(table) as held:
+        assert held.count() == 5
+        inside = held.inputFiles()[0]
+    assert not Path(inside.removeprefix("file://")).exists()
+    assert table.count() == 5 and durable.clear(spark) == 1
+    assert not Path(table.inputFiles()[0].removeprefix("file://")).exists() and durable.clear(spark) == 0
