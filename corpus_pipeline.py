@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldscope.deploy import ready
-from fieldscope.durable import ensure_checkpoint_dir
+from fieldscope.durable import folder
 from fieldscope.llm import decontam, langid, mixing, sharding, simhash
 
 
@@ -68,12 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next input.
 
-    Hard rows (nulls, empty and very long texts, repeats, ties, clashing names, no rows) go as each stage says.
+    The results lie in a folder that ``durable.clear`` deletes. Hard rows (nulls, empty and very long texts, repeats, ties, clashing names, no rows) go as each stage says.
     """
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = folder(spark, "pipeline")
     ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
