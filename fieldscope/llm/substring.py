@@ -139,13 +139,26 @@ def around(hashes: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, n
     return _prefixes(long[at[:, None] + REACH - steps]), _prefixes(long[at[:, None] + REACH + GRAM - 1 + steps])
 
 
-def stretches(hashes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the stretches of LEAST words whose min-hash shingle is one of those at ``often``."""
-    if len(hashes) < LEAST:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def owned(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the kept shingles at ``at``: least and most words before them in the stretches of LEAST words that are theirs.
+
+    A stretch belongs to its first smallest shingle, so equal stretches belong to the same one. Most < least: none.
+    """
+    low, high = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
     grams = gram_hashes(hashes)
-    at = np.flatnonzero(np.isin(_slide(grams, WINDOW, np.minimum), grams[often]))
-    return at, gram_hashes(hashes, LEAST)[at].view(np.int64)
+    if len(grams) < WINDOW:
+        return low, high
+    least = _slide(grams, WINDOW, np.minimum)
+    owner = np.full(len(least), -1)
+    for i in range(WINDOW):
+        here = (owner < 0) & (grams[i : i + len(least)] == least)
+        owner[here] = np.flatnonzero(here) + i
+    of, first, n = np.unique(owner, return_index=True, return_counts=True)  # owners come in order
+    place = np.searchsorted(of, at).clip(max=len(of) - 1)
+    has = of[place] == at
+    high[has] = (at - first[place])[has]
+    low[has] = (high - n[place] + 1)[has]
+    return low, high
 
 
 def lines_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -365,13 +378,11 @@ def _equal_words(a: Column, b: Column) -> Column:
 
 
 def _surroundings(pieces: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of texts with shingles of ``pieces``: (k, none, row, unit, class, stretch, left, right), a written table.
-
-    A row per such shingle with the words around it, and one per stretch of LEAST words whose min-hash it is.
-    """
+    """(k, none, row, unit, class, low, high, left, right) of the shingles of ``pieces``, a written table: whose stretches
+    they own (``owned``) and the words around them (``around``)."""
     per_row = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.collect_list("unit").alias("wanted"))
     rows = _rows(docs, key, text).join(per_row, [F.col(c) == F.col(f"_{c}") for c in ROW]).dropDuplicates(list(ROW))
-    schema = f"{ROW_SCHEMA}, unit int, class long, stretch boolean, left array<int>, right array<int>"
+    schema = f"{ROW_SCHEMA}, unit int, class long, low int, high int, left array<int>, right array<int>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,15 +390,44 @@ def _surroundings(pieces: DataFrame, docs: DataFrame, key: str, text: str) -> Da
             for k, none, row, whole, wanted in batch.itertuples(index=False):
                 hashes, at = word_hashes(whole.lower().split()), np.sort(np.asarray(wanted, np.int64))
                 left, right = around(hashes, at, row)
-                frame = pd.DataFrame({"unit": at, "class": gram_hashes(hashes)[at].view(np.int64), "left": list(left), "right": list(right)})
-                yield frame.assign(k=k, none=none, row=row, stretch=False)[names]
-                at, found = stretches(hashes, at)
-                empty = pd.Series([None] * len(at), dtype=object)
-                yield pd.DataFrame({"unit": at, "class": found}).assign(k=k, none=none, row=row, stretch=True, left=empty, right=empty)[names]
+                low, high = owned(hashes, at)
+                frame = pd.DataFrame({"unit": at, "class": gram_hashes(hashes)[at].view(np.int64), "low": low, "high": high, "left": list(left), "right": list(right)})
+                yield frame.assign(k=k, none=none, row=row)[names]
 
     return stored(rows.select(*ROW, "t", "wanted").mapInPandas(per_batch, schema))
 
 
+def _bits(low: Column, high: Column) -> Column:
+    """A long with the bits low to high set; 0 if there is none."""
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(high - low + 1, F.lit(0))) - 1
+    return F.call_function("shiftleft", ones, F.greatest(low, F.lit(0)))
+
+
+def _compared(pieces: DataFrame, within: bool) -> DataFrame:
+    """Every shingle against the first of its class (that one against the last), word by word; a written table.
+
+    l, r: equal words before and behind. held: its own stretches, by words before it, that equal the first's;
+    rest: the others, with the words around them.
+    """
+    place = _place("unit", "left", "right")
+    ends = pieces.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
+    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere))
+    own, shift = F.struct("none", "k", "row") == _row_of("first"), F.col("unit") - F.col("first.unit")
+    head = own & (shift == 0)
+    other = lambda side: F.when(head, F.col(f"last.{side}")).otherwise(F.col(f"first.{side}"))
+    rows = pieces.join(ends, "class").select(
+        *ROW, "unit", "class", "low", "high", "left", "right", _row_of("first").alias("of"), F.col("first.unit").alias("first_unit"), shift.alias("shift"),
+        head.alias("head"), (~own | (shift >= LEAST) if within else ~own).alias("apart"),
+        _equal_words(F.col("left"), other("left")).alias("l"), _equal_words(F.col("right"), other("right")).alias("r"),
+    )
+    held = _bits(F.greatest("low", REACH - F.col("r")), F.least("high", "l"))
+    rows = rows.withColumn("held", F.when(~F.col("head"), held).otherwise(F.lit(0).cast("long")))
+    rest = _bits(F.col("low"), F.col("high")).bitwiseAND(F.bitwise_not("held"))
+    rows = rows.withColumn("rest", F.when(~F.col("head"), rest).otherwise(F.lit(0).cast("long")))
+    return stored(rows.withColumns({c: F.when(F.col("rest") != 0, F.col(c)) for c in ("left", "right")}))
+
+
 def _runs(*found: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
@@ -410,9 +450,9 @@ def _repeated_runs(units: DataFrame, docs: DataFrame, key: str, text: str, withi
     )
     owned = pieces.join(owners.select("row", "own.none", "own.k"), list(ROW))
     often = cut(owned.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
-    table = _surroundings(owned.join(often, "class", "left_semi"), docs, key, text)
-    near = cut(_near_runs(table.where("not stretch").drop("stretch"), within))
-    exact = _exact_runs(table.where("stretch").select(*ROW, "unit", "class"), within)
+    table = _compared(_surroundings(owned.join(often, "class", "left_semi"), docs, key, text), within)
+    near = cut(_near_runs(table.where("head or apart")))
+    exact = _exact_runs(table, within)
     # A passage with changed words shows the equal runs in it.
     spans = near.select(*[F.col(c).alias(f"_{c}") for c in (*ROW, "unit", "n_words", "removed")])
     inside = (F.col("unit") >= F.col("_unit")) & (F.col("unit") + F.col("n_words") <= F.col("_unit") + F.col("_n_words"))
@@ -421,45 +461,47 @@ def _repeated_runs(units: DataFrame, docs: DataFrame, key: str, text: str, withi
     return _runs(equal, near, exact)
 
 
-def _exact_runs(found: DataFrame, within: bool) -> DataFrame:
-    """Runs of stretches that stand elsewhere too. A stretch is removed unless it is the first of its class, by key
-    and place; runs that share a class are a cluster."""
-    ends = found.groupBy("class").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+def _exact_runs(table: DataFrame, within: bool) -> DataFrame:
+    """Runs of stretches of LEAST words that stand elsewhere too, from ``_compared``.
+
+    Stretches that equal those around the first shingle of their class are known already; only the others are told apart
+    by their words, each with its hash, so that every stretch meets all its equals. A stretch is removed unless it
+    is the first of its kind, by key and place; runs that share a stretch are a cluster.
+    """
+    bits = lambda mask: F.explode(F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1))
+    known = table.where("apart and held <> 0")
+    link = F.xxhash64(F.lit("first"), "class").alias("link")
+    low, high = F.greatest("low", REACH - F.col("r")), F.least("high", "l")
+    later = known.select(*ROW, (F.col("unit") - high).alias("from"), (F.col("unit") - low).alias("to"), F.lit(True).alias("removed"), link)
+    heads = known.groupBy("class", "of", "first_unit").agg(F.bit_or("held").alias("held"))
+    heads = heads.withColumn("i", bits(F.col("held"))).select("of.k", "of.none", "of.row", (F.col("first_unit") - F.col("i")).alias("from"), link)
+    heads = heads.select(*ROW, "from", F.col("from").alias("to"), F.lit(False).alias("removed"), "link")
+    rest = table.where("rest <> 0").withColumn("i", bits(F.col("rest")))
+    words = [F.coalesce(F.try_element_at("left", F.when(F.col("i") > 0, F.col("i"))), F.lit(0)), F.coalesce(F.try_element_at("right", F.when(F.col("i") < REACH, REACH - F.col("i"))), F.lit(0))]
+    rest = rest.select(*ROW, (F.col("unit") - F.col("i")).alias("unit"), F.xxhash64("class", "i", *words).alias("link"))
+    ends = rest.groupBy("link").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
-    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere).select("class", "first"))
+    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere).select("link", "first"))
     own, shift = F.struct("none", "k", "row") == _row_of("first"), F.col("unit") - F.col("first.unit")
-    rows = found.join(ends, "class").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
-    rows = rows.select(*ROW, "unit", "class", (~own | (shift != 0)).alias("removed"))
-    order = Window.partitionBy(*ROW, "removed").orderBy("unit")
-    step = F.col("unit") - F.lag("unit").over(order)
-    rows = rows.withColumn("_from", F.when(step.isNull() | (step != 1), F.col("unit")))
-    rows = rows.withColumn("start", F.max("_from").over(order))
-    rows = stored(rows.select(*ROW, "unit", "class", "removed", "start", F.xxhash64(*ROW, "removed", "start").alias("run")))
-    firsts = rows.where("not removed").groupBy("class").agg(F.min("run").alias("kept"))
-    links = rows.where("removed").join(firsts, "class").select("run", "kept").distinct()
-    clusters = connected_components(links, "run", "kept").withColumnRenamed("node", "run")
-    runs = rows.groupBy(*ROW, "removed", "start", "run").agg(F.count("*").alias("n")).join(clusters, "run")
-    runs = cut(runs.select(*ROW, "removed", F.col("start").alias("unit"), (F.col("n") + LEAST - 1).cast("int").alias("n_words"), "component"))
+    rest = rest.join(ends, "link").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
+    rest = rest.select(*ROW, F.col("unit").alias("from"), F.col("unit").alias("to"), (~own | (shift != 0)).alias("removed"), "link")
+    rows = later.union(heads).union(rest)
+    order = Window.partitionBy(*ROW, "removed").orderBy("from", "to")
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_start", F.when(before.isNull() | (F.col("from") > before + 1), F.col("from")))
+    rows = rows.withColumn("start", F.max("_start").over(order))
+    rows = stored(rows.select(*ROW, "to", "removed", "link", "start", F.xxhash64(*ROW, "removed", "start").alias("run")))
+    clusters = connected_components(rows.select("run", "link").distinct(), "run", "link").withColumnRenamed("node", "run")
+    runs = rows.groupBy(*ROW, "removed", "start", "run").agg((F.max("to") - F.col("start") + LEAST).cast("int").alias("n_words")).join(clusters, "run")
+    runs = cut(runs.select(*ROW, "removed", F.col("start").alias("unit"), "n_words", "component"))
     firsts = runs.groupBy("component").agg(F.min(F.struct("removed", _place().alias("at"))).alias("first"))
     runs = runs.join(firsts.select("component", F.col("first.at").alias("first")), "component")
     return runs.select(*ROW, F.lit(True).alias("piece"), "unit", "n_words", "first", "removed")
 
 
-def _near_runs(pieces: DataFrame, within: bool) -> DataFrame:
+def _near_runs(rows: DataFrame) -> DataFrame:
     """Passages with changed words, against the first text that shares a shingle (and the first against the last)."""
-    place = _place("unit", "left", "right")
-    ends = pieces.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
-    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere))
-    own = F.struct("none", "k", "row") == _row_of("first")
-    shift = F.col("unit") - F.col("first.unit")
-    rows = pieces.join(ends, "class").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
-    # The first occurrence is held against the last, all others against the first.
-    other = lambda side: F.when(own & (shift == 0), F.col(f"last.{side}")).otherwise(F.col(f"first.{side}"))
-    rows = rows.select(
-        *ROW, "unit", _row_of("first").alias("of"), shift.alias("shift"), (~own | (shift != 0)).alias("removed"),
-        _equal_words(F.col("left"), other("left")).alias("l"), _equal_words(F.col("right"), other("right")).alias("r"),
-    ).distinct()
+    rows = rows.select(*ROW, "unit", "of", "shift", (~F.col("head")).alias("removed"), "l", "r")
     by = [*ROW, "of", "shift", "removed"]
     order = Window.partitionBy(*by).orderBy("unit")
     step = F.col("unit") - F.lag("unit").over(order)
