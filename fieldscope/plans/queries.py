@@ -578,7 +578,7 @@ EVENT_PAUSE = 90
 STOPS_SQL = f"""with s as (select id_autor, cast(fecha_evento as date) dia, idEvento, fecha_evento, epoch_us(fecha_evento) us, {LAT} lat, {LON} lon from {{eventos}}
  where id_evento_tipo in (15, 10, 12, 14, 53, 63, 46) and {LAT} <> 0 and {LON} <> 0 and id_autor is not null
  and fecha_evento between timestamp '{EVENTS.start} 00:00:00' and timestamp '{EVENTS.end} 23:59:59'),
- g as (select *, case when us - lag(us) over (partition by id_autor, dia order by fecha_evento, idEvento) >= {EVENT_PAUSE} * 60000000 then 1 else 0 end nuevo from s),
+ g as (select *, case when us - lag(us) over (partition by id_autor, dia order by fecha_evento, idEvento) >= {EVENT_PAUSE * 60_000_000} then 1 else 0 end nuevo from s),
  h as (select *, cast(sum(nuevo) over (partition by id_autor, dia order by fecha_evento, idEvento rows unbounded preceding) + 1 as int) tramo from g),
  r as (select *, cast(row_number() over w as int) orden, lead(lat) over w lat_sig, lead(lon) over w lon_sig, (lead(us) over w - us) / 60e6 minutos
  from h window w as (partition by id_autor, dia, tramo order by fecha_evento, idEvento))"""
