@@ -24,7 +24,7 @@ SHORTEST, LONGEST, LEAST, TOP = 2, 3, 10, 2_000
 #: A phrase goes if a longer one that holds it occurs at least this share (percent) as often.
 COVERED = 50
 #: Words that one sort holds about, and most bits of the filter (32 MB).
-WORDS, MOST_BITS = 1 << 21, 1 << 28
+WORDS, MOST_BITS = 1 << 20, 1 << 28
 #: Rows that a task hands over at once.
 ROWS = 1 << 17
 _MARK = b"."
