@@ -17,10 +17,10 @@ def _seconds(later: Column, earlier: Column) -> Column:
 
 
 def day_routes(df: DataFrame, agent: str, ts: str, id_: str, lat: str, lon: str, pause: int = PAUSE) -> DataFrame:
-    """(agent, dia, tramo, orden, id, ts, lat, lon, lat_sig, lon_sig, minutos, clase): every stop of every agent's days.
+    """(agent, dia, tramo, orden, id, ts, lat, lon, lat_sig, lon_sig, segundos, clase): every stop of every agent's days.
 
     tramo: the leg of the day, from 1; a new one begins ``pause`` minutes after a stop or later. orden: place in
-    the leg. The next stop of the leg, the minutes and the direction to it follow; the last stop has none. Stops
+    the leg. The next stop of the leg, the seconds and the direction to it follow; the last stop has none. Stops
     at one moment go by id. An agent's day is the window, never the agent. Rows with a null agent, time
     or coordinate are left out.
     """
@@ -35,14 +35,14 @@ def day_routes(df: DataFrame, agent: str, ts: str, id_: str, lat: str, lon: str,
     angle = bearing(F.col("lat"), F.col("lon"), F.col("_next.lat"), F.col("_next.lon"), wrap=True)
     return rows.select(
         agent, "dia", "tramo", "orden", id_, ts, "lat", "lon", F.col("_next.lat").alias("lat_sig"), F.col("_next.lon").alias("lon_sig"),
-        (_seconds(F.col(f"_next.{ts}"), F.col(ts)) / 60).alias("minutos"), F.when(F.col("_next").isNotNull(), bearing_class(angle)).alias("clase"),
+        _seconds(F.col(f"_next.{ts}"), F.col(ts)).alias("segundos"), F.when(F.col("_next").isNotNull(), bearing_class(angle)).alias("clase"),
     )
 
 
 def day_legs(routes: DataFrame, agent: str, ts: str) -> DataFrame:
-    """(agent, dia, tramo, paradas, inicio, fin, minutos, recorrido) of ``day_routes``: stops, times and length of each leg."""
+    """(agent, dia, tramo, paradas, inicio, fin, segundos, recorrido) of ``day_routes``: stops, times and length of each leg."""
     step = F.hypot(F.col("lat_sig") - F.col("lat"), F.col("lon_sig") - F.col("lon"))
     return routes.groupBy(agent, "dia", "tramo").agg(
         F.count("*").alias("paradas"), F.min(ts).alias("inicio"), F.max(ts).alias("fin"),
-        F.coalesce(F.sum("minutos"), F.lit(0.0)).alias("minutos"), F.coalesce(F.sum(step), F.lit(0.0)).alias("recorrido"),
+        F.coalesce(F.sum("segundos"), F.lit(0.0)).alias("segundos"), F.coalesce(F.sum(step), F.lit(0.0)).alias("recorrido"),
     )

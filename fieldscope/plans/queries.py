@@ -580,11 +580,11 @@ STOPS_SQL = f"""with s as (select id_autor, cast(fecha_evento as date) dia, idEv
  and fecha_evento between timestamp '{EVENTS.start} 00:00:00' and timestamp '{EVENTS.end} 23:59:59'),
  g as (select *, case when us - lag(us) over (partition by id_autor, dia order by fecha_evento, idEvento) >= {EVENT_PAUSE * 60_000_000} then 1 else 0 end nuevo from s),
  h as (select *, cast(sum(nuevo) over (partition by id_autor, dia order by fecha_evento, idEvento rows unbounded preceding) + 1 as int) tramo from g),
- r as (select *, cast(row_number() over w as int) orden, lead(lat) over w lat_sig, lead(lon) over w lon_sig, (lead(us) over w - us) / 60e6 minutos
+ r as (select *, cast(row_number() over w as int) orden, lead(lat) over w lat_sig, lead(lon) over w lon_sig, (lead(us) over w - us) / 1e6 segundos
  from h window w as (partition by id_autor, dia, tramo order by fecha_evento, idEvento))"""
-query("agent_routes", f"{STOPS_SQL} select id_autor, dia, tramo, orden, idEvento, fecha_evento, round(lat, 6) lat, round(lon, 6) lon, round(lat_sig, 6) lat_sig, round(lon_sig, 6) lon_sig, round(minutos, 6) minutos, {CLASS_SQL} clase "
+query("agent_routes", f"{STOPS_SQL} select id_autor, dia, tramo, orden, idEvento, fecha_evento, round(lat, 6) lat, round(lon, 6) lon, round(lat_sig, 6) lat_sig, round(lon_sig, 6) lon_sig, round(segundos, 6) segundos, {CLASS_SQL} clase "
       f"from (select *, case when {ANGLE_SQL} < 0 then {ANGLE_SQL} + 360 else {ANGLE_SQL} end a from r) b", lambda t: maps.agent_routes(t, EVENTS, EVENT_PAUSE))
-query("agent_legs", f"{STOPS_SQL} select id_autor, dia, tramo, count(*) paradas, min(fecha_evento) inicio, max(fecha_evento) fin, round(coalesce(sum(minutos), 0), 6) minutos, "
+query("agent_legs", f"{STOPS_SQL} select id_autor, dia, tramo, count(*) paradas, min(fecha_evento) inicio, max(fecha_evento) fin, round(coalesce(sum(segundos), 0), 6) segundos, "
       "round(coalesce(sum(sqrt((lat_sig - lat) * (lat_sig - lat) + (lon_sig - lon) * (lon_sig - lon))), 0), 6) recorrido from r group by id_autor, dia, tramo", lambda t: maps.agent_legs(t, EVENTS, EVENT_PAUSE))
 
 

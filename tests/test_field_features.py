@@ -188,8 +188,8 @@ def test_a_pause_splits_the_day(spark):
         (7, 5, 1, 1, 1, "right"), (7, 5, 1, 2, 2, None), (7, 5, 2, 1, 3, "down"), (7, 5, 2, 2, 4, "up"), (7, 5, 2, 3, 5, None),
         (7, 5, 3, 1, 7, None), (7, 6, 1, 1, 8, None), (8, 5, 1, 1, 6, None),
     ]
-    legs = {(r["agente"], r["dia"].day, r["tramo"]): (r["paradas"], round(r["minutos"], 3), round(r["recorrido"], 6)) for r in sessions.day_legs(stops, "agente", "ts").collect()}
-    assert legs[7, 5, 1] == (2, 29.99, 1.0) and legs[7, 5, 2] == (3, 0.01, round(math.sqrt(2) + math.sqrt(8), 6)) and legs[8, 5, 1] == (1, 0.0, 0.0)
+    legs = {(r["agente"], r["dia"].day, r["tramo"]): (r["paradas"], round(r["segundos"], 3), round(r["recorrido"], 6)) for r in sessions.day_legs(stops, "agente", "ts").collect()}
+    assert legs[7, 5, 1] == (2, 1799.4, 1.0) and legs[7, 5, 2] == (3, 0.6, round(math.sqrt(2) + math.sqrt(8), 6)) and legs[8, 5, 1] == (1, 0.0, 0.0)
 
 
 def test_overloaded_days(spark):
