@@ -19,10 +19,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.durable import cut, stored
+from fieldscope.durable import cut, scratch, stored, tidy
 from fieldscope.llm.keys import carried, restored, text_id
 from fieldscope.operators.components import connected_components
 
@@ -128,37 +129,33 @@ def _prefixes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def around(hashes: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The REACH words before and behind the shingles at ``at``, nearest first, as hashes of ever more words.
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, ``size`` numbers for each."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-    Beyond a text's ends stand words of no text.
-    """
-    pad = np.random.default_rng(seed & ((1 << 63) - 1)).integers(0, 1 << 63, 2 * REACH, dtype=np.uint64)
-    long = np.concatenate([pad[:REACH], hashes, pad[REACH:]])
-    steps = np.arange(1, REACH + 1)
-    return _prefixes(long[at[:, None] + REACH - steps]), _prefixes(long[at[:, None] + REACH + GRAM - 1 + steps])
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def owned(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the kept shingles at ``at``: least and most words before them in the stretches of LEAST words that are theirs.
+def owned(hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of the stretches of LEAST words that belong to the kept shingles at ``at``.
 
-    A stretch belongs to its first smallest shingle, so equal stretches belong to the same one. Most < least: none.
+    ``hashes`` are the words of texts of ``sizes`` words, one after the other; no stretch crosses two. A stretch belongs
+    to its first smallest shingle, so equal stretches belong to the same one.
     """
-    low, high = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-    grams = gram_hashes(hashes)
-    if len(grams) < WINDOW:
-        return low, high
-    least = _slide(grams, WINDOW, np.minimum)
-    owner = np.full(len(least), -1)
-    for i in range(WINDOW):
-        here = (owner < 0) & (grams[i : i + len(least)] == least)
-        owner[here] = np.flatnonzero(here) + i
-    of, first, n = np.unique(owner, return_index=True, return_counts=True)  # owners come in order
-    place = np.searchsorted(of, at).clip(max=len(of) - 1)
-    has = of[place] == at
-    high[has] = (at - first[place])[has]
-    low[has] = (high - n[place] + 1)[has]
-    return low, high
+    starts = _spread(np.cumsum(sizes) - sizes, np.maximum(sizes - LEAST + 1, 0))
+    if not len(starts):
+        return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    grams, size = gram_hashes(hashes), 1
+    owner = np.arange(len(grams))
+    pick = lambda a, b: np.where(grams[b] < grams[a], b, a)
+    while 2 * size <= WINDOW:
+        owner, size = pick(owner[: len(owner) - size], owner[size:]), 2 * size
+    owner = pick(owner[: len(owner) - (WINDOW - size)], owner[WINDOW - size :])[starts]  # owners come in order
+    low, high = np.searchsorted(owner, at), np.searchsorted(owner, at, "right")
+    return starts[low.clip(max=len(starts) - 1)], high - low
 
 
 def lines_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -179,9 +176,12 @@ def whole_of(text: str) -> Iterator[tuple[int, np.ndarray]]:
 
 def _bands(shingles: list[np.ndarray]) -> np.ndarray:
     """BANDS keys per set of shingles."""
-    joined = np.concatenate(shingles)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
-    keys = np.zeros((len(shingles), BANDS), np.uint64)
+    return _bands_of(np.concatenate(shingles), np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]]))
+
+
+def _bands_of(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BANDS keys per set of shingles; the sets stand one after the other."""
+    keys = np.zeros((len(starts), BANDS), np.uint64)
     for i in range(BANDS * ROWS):
         v = joined * _A[i] + _B[i]
         v ^= v >> np.uint64(32)
@@ -198,30 +198,36 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def text_units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The lines and pieces of every row; unit: number of the first word. Bands for lines; n_words of a piece: its text's."""
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [[line.split() for line in t.lower().split("\n")] for t in batch["t"].to_pylist()]
+        hashes = word_hashes([w for t in texts for line in t for w in line])
+        width, per = np.array([len(line) for t in texts for line in t]), np.array([len(t) for t in texts])
+        line_of, line_at = np.repeat(np.arange(len(texts)), per), np.cumsum(width) - width
+        sizes = np.bincount(line_of, width, len(texts)).astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+        for i in np.flatnonzero(sizes >= GRAM):
+            parts[i] = pieces_of(hashes[begin[i] : begin[i] + sizes[i]])
+        which, (unit, classes) = np.repeat(np.arange(len(texts)), [len(x) for x, _ in parts]), (np.concatenate(x) for x in zip(*parts, strict=True))
+        long = np.flatnonzero(width >= LEAST)
+        bands, counts = np.zeros(0, np.int64), np.zeros(len(which) + len(long), np.int64)
+        if len(long):
+            n = width[long] - SHINGLE + 1
+            bands = _bands_of(shingle_array(hashes)[_spread(line_at[long], n)], np.cumsum(n) - n).ravel()
+            counts[len(which) :] = BANDS
+        lines = np.array([_class(hashes[a : a + n]) for a, n in zip(line_at[long], width[long], strict=True)], np.int64)
+        rows = np.concatenate([which, line_of[long]])
+        ints = (np.concatenate([unit, line_at[long] - begin[line_of[long]]]), np.concatenate([sizes[which], width[long]]))
+        columns = [batch[c].take(pa.array(rows)) for c in ROW]
+        columns += [pa.array(ints[0], pa.int32()), pa.array(np.arange(len(rows)) < len(which)), pa.array(ints[1], pa.int32()), pa.array(np.concatenate([classes, lines]))]
+        return pa.RecordBatch.from_arrays([*columns, _lists(bands, counts, pa.int64())], _UNIT_NAMES)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                some, parts, shingles, lines = batch.iloc[at : at + 200], [], [], []
-                for i, whole in enumerate(some["t"]):
-                    for unit, hashes in lines_of(whole):
-                        lines.append((i, unit, len(hashes), _class(hashes)))
-                        shingles.append(shingle_array(hashes))
-                    words = whole.lower().split()
-                    if len(words) >= GRAM:
-                        where, grams = pieces_of(word_hashes(words))
-                        parts.append((np.full(len(where), i), where, np.full(len(where), len(words)), grams))
-                if parts:
-                    of, unit, size, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    frame = some[list(ROW)].iloc[of].reset_index(drop=True)
-                    bands = pd.Series([None] * len(frame), dtype=object)
-                    yield frame.assign(unit=unit, piece=True, n_words=size, **{"class": grams}, bands=bands)
-                if lines:
-                    of, unit, size, classes = zip(*lines, strict=True)
-                    frame = some[list(ROW)].iloc[list(of)].reset_index(drop=True)
-                    frame = frame.assign(unit=unit, piece=False, n_words=size, **{"class": classes})
-                    yield frame.assign(bands=list(_bands(shingles)))
-
-    return _rows(docs, key, text).mapInPandas(per_batch, UNIT_SCHEMA)
+            for i in range(0, batch.num_rows, 200):
+                yield of(batch.slice(i, 200))
+
+    return _rows(docs, key, text).mapInArrow(per_batch, UNIT_SCHEMA)
 
 
 def whole_texts(docs: DataFrame, key: str, text: str, mark: Callable[[str], int]) -> DataFrame:
@@ -352,7 +358,21 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     key and text are one document and give the rows of one; null keys are told apart by their texts. Other
     columns are ignored; an empty table gives an empty result.
     """
-    units = stored(text_units(docs, key, text))
+    with tidy(docs.sparkSession):
+        with scratch(text_units(docs, key, text)) as units:
+            whole = cut(_repeated_lines(units, docs, key, text, within))
+            pieces, equal = _repeating(units)
+            pieces = stored(pieces)
+        found = whole.union(equal).union(cut(_repeated_runs(pieces, docs, key, text, within)))
+    return found.select(
+        restored(key), "piece", F.col("unit").alias("start_word"), "n_words",
+        F.when(~F.col("first.none"), F.col("first.k")).alias("component_doc"), F.col("first.unit").alias("component_word"),
+        "removed", F.col("row").alias("text_id"),
+    )
+
+
+def _repeated_lines(units: DataFrame, docs: DataFrame, key: str, text: str, within: bool) -> DataFrame:
+    """The repeated lines: (k, none, row, piece, unit, n_words, first, removed)."""
     lines = units.where("not piece").select(*ROW, "unit", "n_words", "class", "bands")
     found = connected_components(near_classes(lines, docs, key, text), "a", "b").withColumnRenamed("node", "class")
     lines = lines.drop("bands").distinct()
@@ -364,83 +384,102 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     named = cut(rooted.select("class", "root").join(clusters.select("root", "first"), "root").select("class", "first"))
     rows = lines.join(named, "class")
     same = _place() == F.col("first")
-    whole = rows.select(*ROW, F.lit(False).alias("piece"), "unit", "n_words", "first", (~same).alias("removed"))
-    return whole.union(_repeated_runs(units, docs, key, text, within)).select(
-        restored(key), "piece", F.col("unit").alias("start_word"), "n_words",
-        F.when(~F.col("first.none"), F.col("first.k")).alias("component_doc"), F.col("first.unit").alias("component_word"),
-        "removed", F.col("row").alias("text_id"),
-    )
+    return rows.select(*ROW, F.lit(False).alias("piece"), "unit", "n_words", "first", (~same).alias("removed"))
 
 
-def _equal_words(a: Column, b: Column) -> Column:
-    """How many words next to two shingles agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _partner() -> Column:
+    """What a shingle is compared with: the first of its class, and that one with the last."""
+    return F.when(F.col("head"), F.col("last")).otherwise(F.col("first"))
 
 
-def _surroundings(pieces: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, none, row, unit, class, low, high, left, right) of the shingles of ``pieces``, a written table: whose stretches
-    they own (``owned``) and the words around them (``around``)."""
-    per_row = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.collect_list("unit").alias("wanted"))
-    rows = _rows(docs, key, text).join(per_row, [F.col(c) == F.col(f"_{c}") for c in ROW]).dropDuplicates(list(ROW))
-    schema = f"{ROW_SCHEMA}, unit int, class long, low int, high int, left array<int>, right array<int>"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, none, row, whole, wanted in batch.itertuples(index=False):
-                hashes, at = word_hashes(whole.lower().split()), np.sort(np.asarray(wanted, np.int64))
-                left, right = around(hashes, at, row)
-                low, high = owned(hashes, at)
-                frame = pd.DataFrame({"unit": at, "class": gram_hashes(hashes)[at].view(np.int64), "low": low, "high": high, "left": list(left), "right": list(right)})
-                yield frame.assign(k=k, none=none, row=row)[names]
-
-    return stored(rows.select(*ROW, "t", "wanted").mapInPandas(per_batch, schema))
-
-
-def _bits(low: Column, high: Column) -> Column:
-    """A long with the bits low to high set; 0 if there is none."""
-    ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(high - low + 1, F.lit(0))) - 1
-    return F.call_function("shiftleft", ones, F.greatest(low, F.lit(0)))
-
-
-def _compared(pieces: DataFrame, within: bool) -> DataFrame:
-    """Every shingle against the first of its class (that one against the last), word by word; a written table.
+def _chains(pieces: DataFrame, within: bool) -> DataFrame:
+    """The shingles of passages that may have changed words; a written table.
 
-    l, r: equal words before and behind. held: its own stretches, by words before it, that equal the first's;
-    rest: the others, with the words around them.
+    Neighbours at one shift from the first of their class (``of``) are a chain while at most REACH equal words beside
+    either and CHANGED others fit between them; one in which no two leave a word between them shows equal words only. nl, nr:
+    how many words before and behind a shingle can matter, none where a neighbour overlaps it.
     """
-    place = _place("unit", "left", "right")
-    ends = pieces.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    ends = pieces.groupBy("class").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
     ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere))
     own, shift = F.struct("none", "k", "row") == _row_of("first"), F.col("unit") - F.col("first.unit")
     head = own & (shift == 0)
-    other = lambda side: F.when(head, F.col(f"last.{side}")).otherwise(F.col(f"first.{side}"))
-    rows = pieces.join(ends, "class").select(
-        *ROW, "unit", "class", "low", "high", "left", "right", _row_of("first").alias("of"), F.col("first.unit").alias("first_unit"), shift.alias("shift"),
-        head.alias("head"), (~own | (shift >= LEAST) if within else ~own).alias("apart"),
-        _equal_words(F.col("left"), other("left")).alias("l"), _equal_words(F.col("right"), other("right")).alias("r"),
-    )
-    held = _bits(F.greatest("low", REACH - F.col("r")), F.least("high", "l"))
-    rows = rows.withColumn("held", F.when(~F.col("head"), held).otherwise(F.lit(0).cast("long")))
-    rest = _bits(F.col("low"), F.col("high")).bitwiseAND(F.bitwise_not("held"))
-    rows = rows.withColumn("rest", F.when(~F.col("head"), rest).otherwise(F.lit(0).cast("long")))
-    return stored(rows.withColumns({c: F.when(F.col("rest") != 0, F.col(c)) for c in ("left", "right")}))
+    rows = pieces.join(ends, "class").where(head | (~own | (shift >= LEAST) if within else ~own))
+    rows = rows.select(*ROW, "unit", "class", F.xxhash64(_row_of("first")).alias("_of"), shift.alias("shift"), head.alias("head"))
+    by = [*ROW, "_of", "shift", "head"]
+    order = Window.partitionBy(*by).orderBy("unit")
+    most = GRAM + 2 * REACH + CHANGED
+    rows = rows.withColumns({"step": F.col("unit") - F.lag("unit").over(order), "next": F.lead("unit").over(order) - F.col("unit")})
+    rows = rows.withColumn("chain", F.sum(F.when(F.col("step") <= most, 0).otherwise(1)).over(order))
+    rows = rows.withColumn("wide", F.max(F.when(F.col("step") <= most, F.col("step"))).over(Window.partitionBy(*by, "chain")))
+    matter = lambda step: F.when(F.col(step) <= GRAM, 0).otherwise(F.least(F.lit(REACH), F.col(step) - GRAM))
+    rows = rows.where(F.col("wide") > GRAM).select(*ROW, "unit", "class", "shift", "head", matter("step").alias("nl"), matter("next").alias("nr"))
+    return stored(rows.join(ends, "class").select(*ROW, "unit", "shift", "head", "nl", "nr", _row_of("first").alias("of"), _partner().alias("other")))
+
+
+def _details(pieces: DataFrame, chains: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Of the shingles of ``pieces``, not yet worked out: hashes of their stretches (``owned``), the first of which starts at the
+    word ``from``, a hash of all these, and, as far as ``chains`` ask, the words before and behind as hashes of ever more words."""
+    asked = chains.where("nl > 0 or nr > 0")
+    wanted = pieces.select(*ROW, "unit", F.lit(0).alias("nl"), F.lit(0).alias("nr"))
+    wanted = wanted.union(asked.select(*ROW, "unit", "nl", "nr")).union(asked.select(*[f"other.{c}" for c in (*ROW, "unit")], "nl", "nr"))
+    per_row = wanted.groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.collect_list(F.struct("unit", "nl", "nr")).alias("wanted"))
+    rows = _rows(docs, key, text).join(per_row, [F.col(c) == F.col(f"_{c}") for c in ROW]).dropDuplicates(list(ROW))
+    schema = f"{ROW_SCHEMA}, unit int, class long, from int, span long, hashes array<long>, left array<int>, right array<int>"
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.lower().split() for t in batch["t"].to_pylist()]
+        sizes = np.array([len(w) for w in texts])
+        hashes, begin = word_hashes([w for t in texts for w in t]), np.cumsum(sizes) - sizes
+        asked, per = batch["wanted"].flatten(), batch["wanted"].value_lengths().to_numpy()
+        unit, nl, nr = (asked.field(c).to_numpy() for c in ("unit", "nl", "nr"))
+        at, same = np.unique(unit + np.repeat(begin, per), return_inverse=True)
+        before, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        np.maximum.at(before, same, nl)
+        np.maximum.at(behind, same, nr)
+        which = np.searchsorted(begin, at, "right") - 1
+        before, behind = np.minimum(before, at - begin[which]), np.minimum(behind, (begin + sizes)[which] - at - GRAM)
+
+        def sides(counts: np.ndarray, first: int, step: int) -> pa.Array:
+            has = np.flatnonzero(counts)
+            found = _prefixes(hashes[(at[has, None] + first + step * np.arange(REACH)).clip(0, len(hashes) - 1)])
+            return _lists(found[np.arange(REACH) < counts[has, None]], counts, pa.int32())
+
+        start, count = owned(hashes, sizes, at)
+        whole = gram_hashes(hashes, LEAST).view(np.int64)[_spread(start, count)] if count.any() else np.zeros(0, np.int64)
+        ends = np.cumsum(count)
+        spans = [_class(whole[a:b]) if b > a else None for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)]
+        columns = [batch[c].take(pa.array(which)) for c in ROW]
+        columns += [pa.array(at - begin[which], pa.int32()), pa.array(gram_hashes(hashes)[at].view(np.int64)), pa.array(start - begin[which], pa.int32())]
+        columns += [pa.array(spans, pa.int64()), _lists(whole, count, pa.int64()), sides(before, -1, -1), sides(behind, GRAM, 1)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                yield of(batch.slice(i, 200))
 
+    return rows.select(*ROW, "t", "wanted").mapInArrow(per_batch, schema)
 
-def _runs(*found: DataFrame) -> DataFrame:
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
 
+def _beside(chains: DataFrame, details: DataFrame) -> DataFrame:
+    """``chains`` with l and r: equal words before and behind a shingle and its partner, as far as they matter."""
+    sides = details.where("size(left) > 0 or size(right) > 0").select(F.struct("none", "k", "row", "unit").alias("at"), "left", "right")
+    mine = sides.select(F.col("at").alias("_at"), F.col("left").alias("_l"), F.col("right").alias("_r"))
+    rows = chains.withColumn("_mine", _place())
+    rows = rows.join(mine, F.col("_mine") == F.col("_at"), "left").drop("_at")
+    rows = rows.join(sides, F.col("other") == F.col("at"), "left")
+    equal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+    count = lambda n, a, b: F.when((F.col(n) > 0) & F.col(a).isNotNull() & F.col(b).isNotNull(), equal(a, b)).otherwise(0)
+    return rows.select(*ROW, "unit", "of", "shift", "head", count("nl", "_l", "left").alias("l"), count("nr", "_r", "right").alias("r"))
 
-def _repeated_runs(units: DataFrame, docs: DataFrame, key: str, text: str, within: bool) -> DataFrame:
-    """The repeated passages: (k, none, row, piece, unit, n_words, first, removed).
+
+def _repeating(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shingles that occur again in different texts or places, the passages that are equal texts).
 
     Of equal texts the first one stands for all; the others are one removed passage each.
     """
-    pieces = units.where("piece").select(*ROW, "unit", "n_words", "class").distinct()
+    pieces = units.where("piece").select(*ROW, "unit", "n_words", "class")
     texts = pieces.select(*ROW, "n_words").distinct()
     owners = cut(texts.groupBy("row").agg(F.min(F.struct("none", "k")).alias("own"), F.count("*").alias("copies")))
     texts = texts.join(owners, "row").where((F.col("copies") > 1) & (F.col("n_words") >= LEAST))
@@ -448,44 +487,68 @@ def _repeated_runs(units: DataFrame, docs: DataFrame, key: str, text: str, withi
     equal = texts.select(
         *ROW, F.lit(True).alias("piece"), F.lit(0).alias("unit"), "n_words", first.alias("first"), (F.struct("none", "k") != F.col("own")).alias("removed")
     )
-    owned = pieces.join(owners.select("row", "own.none", "own.k"), list(ROW))
-    often = cut(owned.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
-    table = _compared(_surroundings(owned.join(often, "class", "left_semi"), docs, key, text), within)
-    near = cut(_near_runs(table.where("head or apart")))
-    exact = _exact_runs(table, within)
+    at = F.xxhash64("row", "unit")
+    often = pieces.groupBy("class").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("class")
+    again = pieces.drop("n_words").join(cut(often), "class", "left_semi")
+    return again.join(owners.select("row", "own.none", "own.k"), list(ROW)).select(*ROW, "unit", "class").distinct(), cut(equal)
+
+
+def _repeated_runs(pieces: DataFrame, docs: DataFrame, key: str, text: str, within: bool) -> DataFrame:
+    """The repeated passages but equal texts: (k, none, row, piece, unit, n_words, first, removed)."""
+    chains = _chains(pieces, within)
+    with scratch(_details(pieces, chains, docs, key, text)) as details:
+        near = cut(_near_runs(_beside(chains, details)))
+        exact = _exact_runs(details, within)
     # A passage with changed words shows the equal runs in it.
     spans = near.select(*[F.col(c).alias(f"_{c}") for c in (*ROW, "unit", "n_words", "removed")])
     inside = (F.col("unit") >= F.col("_unit")) & (F.col("unit") + F.col("n_words") <= F.col("_unit") + F.col("_n_words"))
     same = [F.col(c) == F.col(f"_{c}") for c in (*ROW, "removed")]
-    exact = exact.join(spans, [*same, inside], "left_anti")
-    return _runs(equal, near, exact)
+    return near.union(exact.join(spans, [*same, inside], "left_anti"))
 
 
-def _exact_runs(table: DataFrame, within: bool) -> DataFrame:
-    """Runs of stretches of LEAST words that stand elsewhere too, from ``_compared``.
+def _intervals(spans: DataFrame, within: bool) -> DataFrame:
+    """(span, a, b, first): stretches a to b of a span stand elsewhere too; first: where the first of a's kind does, and
+    behind it those of the others.
 
-    Stretches that equal those around the first shingle of their class are known already; only the others are told apart
-    by their words, each with its hash, so that every stretch meets all its equals. A stretch is removed unless it
+    Where all stretches of a class are one span, its first holds the first of each; else every stretch meets all its equals.
+    """
+    def repeats() -> Column:
+        elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
+        return elsewhere | (apart >= LEAST) if within else elsewhere
+
+    kinds = spans.groupBy("class").agg(F.min("span").alias("s"), F.max("span").alias("t"))
+    kinds = spans.join(kinds.select("class", (F.col("s") == F.col("t")).alias("alone")), "class")
+    alone = kinds.where("alone").where(repeats()).select("span", F.lit(0).alias("a"), (F.size("hashes") - 1).alias("b"), "first")
+    each = kinds.where("not alone").select("span", "first", "last", F.posexplode("hashes").alias("i", "h"))
+    moved = lambda p: F.struct(f"{p}.none", f"{p}.k", f"{p}.row", (F.col(f"{p}.unit") + F.col("i")).alias("unit"))
+    each = stored(each.select("span", "i", "h", moved("first").alias("first"), moved("last").alias("last")))
+    found = each.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(repeats()).select("h", "first")
+    each = each.select("span", "i", "h").join(found, "h").withColumn("shift", F.col("first.unit") - F.col("i"))
+    by = ["span", _row_of("first").alias("of"), "shift"]
+    each = each.select(*by, "i").withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("span", "of", "shift").orderBy("i")))
+    each = each.groupBy("span", "of", "shift", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    first = F.struct("of.none", "of.k", "of.row", (F.col("shift") + F.col("a")).alias("unit"))
+    return stored(alone.union(each.select("span", "a", "b", first.alias("first"))))
+
+
+def _exact_runs(details: DataFrame, within: bool) -> DataFrame:
+    """Runs of stretches of LEAST words that stand elsewhere too, from ``_details``.
+
+    All stretches of a shingle are a span; equal spans are told apart once, by their stretches. A stretch is removed unless it
     is the first of its kind, by key and place; runs that share a stretch are a cluster.
     """
-    bits = lambda mask: F.explode(F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1))
-    known = table.where("apart and held <> 0")
-    link = F.xxhash64(F.lit("first"), "class").alias("link")
-    low, high = F.greatest("low", REACH - F.col("r")), F.least("high", "l")
-    later = known.select(*ROW, (F.col("unit") - high).alias("from"), (F.col("unit") - low).alias("to"), F.lit(True).alias("removed"), link)
-    heads = known.groupBy("class", "of", "first_unit").agg(F.bit_or("held").alias("held"))
-    heads = heads.withColumn("i", bits(F.col("held"))).select("of.k", "of.none", "of.row", (F.col("first_unit") - F.col("i")).alias("from"), link)
-    heads = heads.select(*ROW, "from", F.col("from").alias("to"), F.lit(False).alias("removed"), "link")
-    rest = table.where("rest <> 0").withColumn("i", bits(F.col("rest")))
-    words = [F.coalesce(F.try_element_at("left", F.when(F.col("i") > 0, F.col("i"))), F.lit(0)), F.coalesce(F.try_element_at("right", F.when(F.col("i") < REACH, REACH - F.col("i"))), F.lit(0))]
-    rest = rest.select(*ROW, (F.col("unit") - F.col("i")).alias("unit"), F.xxhash64("class", "i", *words).alias("link"))
-    ends = rest.groupBy("link").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
-    elsewhere, apart = _row_of("first") != _row_of("last"), F.col("last.unit") - F.col("first.unit")
-    ends = cut(ends.where(elsewhere | (apart >= LEAST) if within else elsewhere).select("link", "first"))
-    own, shift = F.struct("none", "k", "row") == _row_of("first"), F.col("unit") - F.col("first.unit")
-    rest = rest.join(ends, "link").where(~own | (shift == 0) | (shift >= LEAST) if within else ~own | (shift == 0))
-    rest = rest.select(*ROW, F.col("unit").alias("from"), F.col("unit").alias("to"), (~own | (shift != 0)).alias("removed"), "link")
-    rows = later.union(heads).union(rest)
+    held = details.where("span is not null")
+    place = _place(F.col("from").alias("unit"))
+    spans = stored(held.groupBy("class", "span").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("hashes").alias("hashes")))
+    found = _intervals(spans, within)
+    link = F.xxhash64("first").alias("link")
+    heads = found.select("first.k", "first.none", "first.row", F.col("first.unit").alias("from"), (F.col("first.unit") + F.col("b") - F.col("a")).alias("to"), F.lit(False).alias("removed"), link).distinct()
+    later = held.select(*ROW, "from", "span").join(found, "span")
+    start = F.col("from") + F.col("a")
+    own, shift = F.struct("none", "k", "row") == _row_of("first"), start - F.col("first.unit")
+    later = later.where(~own | (shift >= LEAST) if within else ~own)
+    later = later.select(*ROW, start.alias("from"), (F.col("from") + F.col("b")).alias("to"), F.lit(True).alias("removed"), link)
+    rows = later.union(heads.select(*ROW, "from", "to", "removed", "link"))
     order = Window.partitionBy(*ROW, "removed").orderBy("from", "to")
     before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_start", F.when(before.isNull() | (F.col("from") > before + 1), F.col("from")))
