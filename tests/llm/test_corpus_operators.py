@@ -210,6 +210,40 @@ def test_every_occurrence_of_a_passage_whole_or_in_part(spark):
     assert {(r["doc_id"], i) for r in found for i in range(r["start_word"], r["start_word"] + r["n_words"] - 49)} == covered
 
 
+def test_clusters_of_passages_share_stretches(spark):
+    """Rows and clusters equal those of all stretches of 50 words compared with all; two runs in one text, of which
+    different texts repeat different parts, are two clusters."""
+    rng, texts = random.Random(26), {}
+    for case in range(12):
+        passage = words(rng, 160, 90_000).split()
+        for copy, (a, b) in enumerate([(0, 160), (0, 70), (30, 100), *[sorted(rng.sample(range(161), 2)) for _ in range(4)]]):
+            texts[10 * case + copy] = " ".join([words(rng, rng.randrange(5, 60), 90_000), *passage[a:b], words(rng, rng.randrange(5, 60), 90_000)])
+    for k, (a, b) in enumerate([(0, 100), (0, 70), (30, 100)]):
+        texts[900 + k] = " ".join(["left", str(k), *[f"w{i}" for i in range(a, b)], "right", str(k)])
+    where, runs, root = {}, {}, {}
+    for d, t in sorted(texts.items()):
+        for i, g in enumerate(grams_of(t)):
+            where.setdefault(g, []).append((d, i))
+    shared = [at for at in where.values() if len({d for d, _ in at}) > 1]
+    marked = {(d, at[0] != (d, i), i) for at in shared for d, i in at}
+    for d, removed, i in sorted(marked):
+        runs[d, removed, i] = runs.get((d, removed, i - 1), (d, removed, i))
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for at in shared:
+        for d, i in at[1:]:
+            a, b = top(runs[(*at[0][:1], False, at[0][1])]), top(runs[d, True, i])
+            root[max(a, b, key=lambda x: (x[1], x))] = min(a, b, key=lambda x: (x[1], x))
+    want = {(d, start, max(i for (e, r, i), run in runs.items() if run == (d, removed, start)) - start + 50, removed, top((d, removed, start))[0], top((d, removed, start))[2]) for d, removed, start in set(runs.values())}
+    found = substring.repeated_units(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).where("piece").collect()
+    assert {(r["doc_id"], r["start_word"], r["n_words"], r["removed"], r["component_doc"], r["component_word"]) for r in found} == want
+    assert {(r["start_word"], r["component_word"]) for r in found if r["doc_id"] >= 901} == {(2, 2), (2, 32)}
+
+
 def test_less_than_fifty_equal_words_are_no_passage(spark):
     rng, texts = random.Random(25), {}
     for case, size in enumerate(list(range(40, 50)) * 4):
