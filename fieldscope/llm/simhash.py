@@ -201,7 +201,8 @@ def _rooted(docs: DataFrame, key: str, text: str, similar: bool) -> tuple[DataFr
     distinct = cut(prints.select("fp").distinct())
     links = near_links(distinct)
     if similar:
-        links = links.union(similar_links(docs, key, text))
+        # Written first: a task that compared cells and then joined forests would hold two Python workers.
+        links = cut(links).union(similar_links(docs, key, text))
     found = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
     return prints, cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")))
 

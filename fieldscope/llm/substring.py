@@ -38,7 +38,8 @@ BLOCK = 256
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_KEPT_WORDS = 1_000_000
+#: Words hashed at a time.
+_AT_ONCE = 1 << 16
 
 ROW = ("k", "none", "row")
 ROW_SCHEMA = "k long, none boolean, row long"
@@ -46,23 +47,16 @@ UNIT_SCHEMA = f"{ROW_SCHEMA}, unit int, piece boolean, n_words int, class long,
 _UNIT_NAMES = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
 
 
-class _WordHashes(dict):
-    """A word's hash, worked out when it is first met."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-_HASHES = _WordHashes()
-
-
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_HASHES) > _KEPT_WORDS:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, count=len(words))
+    """XXH64 of every word; nothing is kept from call to call, since Python workers live on between stages."""
+    from xxhash import xxh64_digest
+
+    out = np.empty(len(words), np.uint64)
+    for at in range(0, len(words), _AT_ONCE):
+        # No word holds white space.
+        some = "\n".join(words[at : at + _AT_ONCE]).encode("utf-8", "surrogatepass").split(b"\n")
+        out[at : at + len(some)] = np.frombuffer(b"".join(map(xxh64_digest, some)), ">u8")
+    return out
 
 
 def shingle_array(hashes: np.ndarray) -> np.ndarray:

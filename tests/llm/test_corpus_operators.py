@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -268,6 +269,19 @@ def test_passages_with_changed_words(spark):
     assert len({r["doc_id"] for r in found}) >= 57 and np.mean([r["n_words"] >= 95 for r in found]) > 0.8
 
 
+def test_word_hashes_keep_nothing():
+    """XXH64 of each word, whatever its letters; however many words a Python worker meets, none stays in it."""
+    odd = ["a", "\u00e9\u4e2d", "\ud800", "\udc00", "\x00", "b" * 99]
+    assert substring.word_hashes(odd * 20_000).tolist() == [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in odd] * 20_000
+    assert substring.word_hashes([]).tolist() == []
+    tracemalloc.start()
+    for i in range(10):
+        assert len(substring.word_hashes([f"word{i}x{j}" for j in range(20_000)])) == 20_000
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
+
+
 def test_near_classes_match_all_pairs(spark):
     """Components of near lines equal those of all pairs with exact Jaccard, chains included."""
     rng = random.Random(8)
