@@ -149,8 +149,9 @@ def near_links(distinct: DataFrame, n_bands: int | None = None) -> DataFrame:
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # Spark sizes rows by what was dealt out, before each row became many: by that size it would broadcast them.
     blocks = (
-        rows.join(crowded, "cell")
+        rows.hint("merge").join(crowded, "cell")
         .select("cell", "fp", "counts", parts.alias("parts"))
         .select("cell", "fp", "counts", own.alias("own"), other.alias("other"))
         .select("cell", "fp", "counts", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))

@@ -593,6 +593,16 @@ def test_links_of_dense_balls(spark, monkeypatch, block):
     assert [top(i) for i in range(len(prints))] == slow_components(prints)
 
 
+def test_rows_of_cells_are_not_broadcast(spark):
+    fp = [random.Random(i).getrandbits(64) for i in range(3000)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in [*fp, fp[0] ^ 7]]
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(4))
+    assert [{r["a"], r["b"]} for r in links.distinct().collect()] == [{signed[0], signed[-1]}]
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_segment_counts_bound_hamming(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(-(1 << 63), 1 << 63, 200)
